@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arcweave.llm.codes import BASE, Table, code_units, mixed, powers
 from arcweave.operators.skew import key_candidates
 
 if TYPE_CHECKING:
@@ -23,62 +24,20 @@ if TYPE_CHECKING:
 
     from pyspark.sql import DataFrame
 
-UNKNOWN = np.uint32(0xFFFFFFFF)
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-MIX = np.uint64(0xBF58476D1CE4E5B9)
-_fold = np.full(0x110000, UNKNOWN, np.uint32)
-_powers = np.ones(1, np.uint64)
-
-
-def fold_codes(codes: np.ndarray) -> np.ndarray:
-    """Folded code of each code point, 0 where it is neither letter nor digit."""
-    out = _fold[codes]
-    if (out == UNKNOWN).any():
-        for code in np.unique(codes[out == UNKNOWN]):
-            ch = chr(code)
-            low = next((x for x in (ch.casefold(), ch.lower()) if len(x) == 1), ch)
-            _fold[code] = ord(low) if ch.isalpha() or ch.isdecimal() else 0
-        out = _fold[codes]
-    return out
-
-
-def _powers_to(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        more = np.full(max(n, 2 * len(_powers), 256), BASE, np.uint64)
-        more[0] = 1
-        _powers = np.multiply.accumulate(more)
-    return _powers
-
-
-def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Code units of all values end to end, and the offsets of each value.
-
-    Bytes where the whole batch is ASCII, code points otherwise. Nulls are empty.
-    """
-    column = column.fill_null("").cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
-    if len(data) and data.max() >= 128:
-        starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        data = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-        offsets = starts[offsets]
-    return data, offsets
+# Code of each letter and digit, case folded; 0: skipped.
+fold_codes = Table(lambda ch: ch.isalpha() or ch.isdecimal())
 
 
 def fold_hash(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Polynomial hash of the letters and digits of each value, and their number."""
-    codes, offsets = _codes(column)
+    codes, offsets = code_units(column)
     folded = fold_codes(codes)
     kept = folded != 0
     at = np.concatenate([[0], np.cumsum(kept)])[offsets]
     n = np.diff(at)
-    value = folded[kept].astype(np.uint64)
-    value = (value ^ (value << np.uint64(29))) * MIX
-    value ^= value >> np.uint64(31)
+    value = mixed(folded[kept])
     place = np.arange(len(value)) - np.repeat(at[:-1], n)
-    value *= _powers_to(int(n.max(initial=0)) + 1)[place]
+    value *= powers(BASE, int(n.max(initial=0)) + 1)[place]
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
     return (total[at[1:]] - total[at[:-1]]).view(np.int64), n
 
@@ -89,7 +48,7 @@ def same_folded(left: pa.Array, right: pa.Array) -> np.ndarray:
     The pointers of all pairs advance together, each on its own; a pair drops out
     at its first difference or when both values are used up.
     """
-    (a, oa), (b, ob) = _codes(left), _codes(right)
+    (a, oa), (b, ob) = code_units(left), code_units(right)
     a, b = np.append(fold_codes(a), 0), np.append(fold_codes(b), 0)
     # next_a[i]: place of the first kept code at or after i
     def following(folded: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import functions as F
 
-from arcweave.llm import cooccur, dupes, termfreq
+from arcweave.llm import cooccur, dupes, leak, termfreq
 from arcweave.queries import table
 
 if TYPE_CHECKING:
@@ -93,3 +93,13 @@ def p6_distinct_links(spark, sf_dir):
 def _all_links(spark, sf_dir):
     links = table(spark, sf_dir, "links_to").select("edge_id", "src", "dst")
     return links.unionByName(dupes.parse_records(table(spark, sf_dir, "link_raw")))
+
+
+@query()
+def p7_found(spark, sf_dir):
+    return leak.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+@query()
+def p7_clean_documents(spark, sf_dir):
+    return leak.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "source")
