@@ -6,7 +6,7 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import functions as F
 
-from arcweave.llm import cooccur, dupes, leak, termfreq
+from arcweave.llm import cooccur, dupes, leak, mixing, termfreq
 from arcweave.queries import table
 
 if TYPE_CHECKING:
@@ -103,3 +103,15 @@ def p7_found(spark, sf_dir):
 @query()
 def p7_clean_documents(spark, sf_dir):
     return leak.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "source")
+
+
+@query()
+def p8_mix(spark, sf_dir):
+    counted = mixing.counted_once(table(spark, sf_dir, "documents"))
+    return mixing.mix(counted, table(spark, sf_dir, "mix_targets"))
+
+
+@query()
+def p8_mix_report(spark, sf_dir):
+    counted, targets = mixing.counted_once(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets")
+    return mixing.mix_report(counted, targets, mixing.mix(counted, targets))
