@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 UNKNOWN = np.uint32(0xFFFFFFFF)
 SKIP = np.uint32(0xFFFFFFFE)
@@ -69,7 +70,7 @@ def code_units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(column: pa.Array, most: int = 400_000):
     """Slices of a text column of about ``most`` bytes each, a longer value alone."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     begin = total = 0
     for k, n in enumerate(sizes):
         if total and total + n > most:

@@ -6,6 +6,7 @@ from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from arcweave.operators.dictionary import number_rows
@@ -38,7 +39,7 @@ def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     dense = np.zeros((DENSE, DENSE), np.int64)
 
     def block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        whole = rows.filter(pa.compute.is_null(rows["right"])).combine_chunks()
+        whole = rows.filter(pc.is_null(rows["right"])).combine_chunks()
         items = whole["left"].combine_chunks() if whole["left"].num_chunks else pa.array([], pa.list_(pa.int64()))
         flat = items.flatten().to_numpy()
         row = np.repeat(np.arange(len(items)), np.diff(items.offsets.to_numpy()))
@@ -63,7 +64,7 @@ def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = [], 0
         if held:
             yield from _sparse(*map(np.concatenate, zip(*held)))
-        split = rows.filter(pa.compute.is_valid(rows["right"]))
+        split = rows.filter(pc.is_valid(rows["right"]))
         for left, right in zip(split["left"], split["right"]):
             a, b = left.values.to_numpy(), right.values.to_numpy()
             i, j = np.repeat(a, len(b)), np.tile(b, len(a))

@@ -25,23 +25,30 @@ SHARD = 400_000          # words of a shard
 ITEM_BLOCK = 8_000_000   # characters of test items looked up in one pass
 
 
-def suffix_array(tokens: np.ndarray, depth: int, shortest: int) -> np.ndarray:
-    """Places followed by ``shortest`` non-zero tokens, sorted by the ``depth`` tokens there.
+def in_runs(tokens: np.ndarray, shortest: int) -> np.ndarray:
+    """The tokens, with 0 for those outside runs of ``shortest`` non-zero ones: no match of that length has them."""
+    known = np.concatenate([tokens > 0, np.zeros(shortest, bool)])
+    begins = np.logical_and.reduce([known[k : k + len(tokens)] for k in range(shortest)])
+    padded = np.concatenate([np.zeros(shortest - 1, bool), begins])
+    return np.where(np.logical_or.reduce([padded[k : k + len(tokens)] for k in range(shortest)]), tokens, 0)
+
+
+def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
+    """Places of all non-zero tokens, sorted by the ``depth`` tokens that begin there.
 
     Prefix doubling; token 0 stands for a word that no item has, or the end of a
     document, and sorts first.
     """
-    known_word = np.concatenate([tokens > 0, np.zeros(shortest, bool)])
-    places = np.flatnonzero(np.logical_and.reduce([known_word[k : k + len(tokens)] for k in range(shortest)]))
+    places = np.flatnonzero(tokens)
     rank = np.zeros(len(tokens) + depth + 1, np.int64)
     rank[: len(tokens)] = tokens
     step, known = 1, -1
     order = np.argsort(rank[places])
     while step < depth and len(places):
-        key = rank[places] * (len(tokens) + int(tokens.max()) + 2) + rank[places + step]
+        key = rank[places] * (len(tokens) + int(tokens.max()) + 1) + rank[places + step]
         order = np.argsort(key)
         new = np.concatenate([[1], np.diff(key[order]) != 0]).cumsum()
-        rank[places[order]] = new + int(tokens.max())
+        rank[places[order]] = new
         if new[-1] == known:
             break
         known = new[-1]
@@ -73,7 +80,7 @@ class Items:
 
     def matches(self, tokens: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item place, token place, length) of all left-maximal verbatim matches."""
-        order = suffix_array(tokens, self.depth, shortest)
+        order = suffix_array(tokens := in_runs(tokens, shortest), self.depth)
         far = np.concatenate([tokens, np.zeros(self.depth + 1, tokens.dtype)])
         item = np.flatnonzero(self.words)
         lo, hi = np.zeros(len(item), np.int64), np.full(len(item), len(order))
