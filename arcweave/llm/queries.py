@@ -6,7 +6,7 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import functions as F
 
-from arcweave.llm import cooccur, dupes, leak, mixing, termfreq
+from arcweave.llm import cooccur, dupes, langid, leak, mixing, sentences, termfreq
 from arcweave.queries import table
 
 if TYPE_CHECKING:
@@ -115,3 +115,23 @@ def p8_mix(spark, sf_dir):
 def p8_mix_report(spark, sf_dir):
     counted, targets = mixing.counted_once(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets")
     return mixing.mix_report(counted, targets, mixing.mix(counted, targets))
+
+
+@query()
+def p5_found(spark, sf_dir):
+    return sentences.sentence_units(table(spark, sf_dir, "text_dir")).select("page_id", "start_char", "end_char")
+
+
+@query()
+def p5_sentences(spark, sf_dir):
+    return sentences.sentence_units(table(spark, sf_dir, "text_dir"))
+
+
+@query()
+def p9_found(spark, sf_dir):
+    return langid.unstated_languages(table(spark, sf_dir, "documents"))
+
+
+@query()
+def p9_stretches(spark, sf_dir):
+    return langid.language_stretches(table(spark, sf_dir, "documents"))
