@@ -6,7 +6,7 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import functions as F
 
-from arcweave.llm import cooccur, dupes, langid, leak, mixing, sentences, termfreq
+from arcweave.llm import cooccur, dupes, langid, leak, mixing, sentences, termfreq, variants
 from arcweave.queries import table
 
 if TYPE_CHECKING:
@@ -135,3 +135,13 @@ def p9_found(spark, sf_dir):
 @query()
 def p9_stretches(spark, sf_dir):
     return langid.language_stretches(table(spark, sf_dir, "documents"))
+
+
+@query()
+def p3_found(spark, sf_dir):
+    return variants.variant_links(table(spark, sf_dir, "entity"), table(spark, sf_dir, "links_to"))
+
+
+@query()
+def p3_canonical_titles(spark, sf_dir):
+    return variants.canonical_titles(table(spark, sf_dir, "entity"), table(spark, sf_dir, "links_to"))
