@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from typing import TYPE_CHECKING
 
-from arcweave.operators import skew
+from pyspark.sql import functions as F
+
+from arcweave import schema
+from arcweave.functions import entities, text
+from arcweave.operators import coloring, dictionary, graph, links, scenarios, schedule, skew
+from arcweave.plans import config, evaluate, pipeline
+from arcweave.session import materialize
+from arcweave.sources import files
 
 if TYPE_CHECKING:
     from collections.abc import Callable
@@ -48,3 +55,292 @@ g AS (SELECT dst, CAST(sum(n) AS BIGINT) AS n_links, count(src) AS n_src FROM p
 SELECT g.dst, n_links, n_src, coalesce(hubs, '') AS hubs FROM g LEFT JOIN h USING (dst)""")
 def p4_target_report(spark, sf_dir):
     return skew.target_report(table(spark, sf_dir, "links_to"))
+
+
+_ENDS = "SELECT edge_id, src, dst FROM links_to WHERE src IS NOT NULL AND dst IS NOT NULL"
+_RECORDS = "SELECT edge_id, json_extract_string(record, '$.from') AS src, json_extract_string(record, '$.to') AS dst FROM link_raw WHERE json_valid(record)"
+_NODES = "SELECT title, bool_or(is_base) AS is_base, min(processed_at) AS processed_at FROM entity WHERE title IS NOT NULL GROUP BY title"
+
+
+def _links(spark, sf_dir):
+    return table(spark, sf_dir, "links_to").select("edge_id", "src", "dst")
+
+
+def _records(spark, sf_dir):
+    return files.parse_link_records(table(spark, sf_dir, "link_raw"))
+
+
+def _nodes(spark, sf_dir):
+    """One row per title of the entity table: base if any row says so."""
+    rows = table(spark, sf_dir, "entity").where("title is not null")
+    return rows.groupBy("title").agg(F.bool_or("is_base").alias("is_base"), F.min("processed_at").alias("processed_at"))
+
+
+def _empty_links(spark):
+    return spark.createDataFrame([], schema.LINKS)
+
+
+@query(f"SELECT src, dst, count(*) AS weight, 7 AS created_at, CASE WHEN count(*) > 1 THEN 7 END AS last_updated FROM ({_ENDS}) GROUP BY src, dst")
+def merge_new_links(spark, sf_dir):
+    return graph.merge_links(_empty_links(spark), _links(spark, sf_dir), 7)
+
+
+@query(f"""WITH a AS (SELECT src, dst, count(*) AS n FROM ({_RECORDS}) WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY src, dst),
+b AS (SELECT src, dst, count(*) AS n FROM ({_ENDS}) GROUP BY src, dst)
+SELECT coalesce(a.src, b.src) AS src, coalesce(a.dst, b.dst) AS dst, coalesce(a.n, 0) + coalesce(b.n, 0) AS weight,
+CASE WHEN a.n IS NULL THEN 2 ELSE 1 END AS created_at,
+CASE WHEN b.n IS NULL THEN CASE WHEN a.n > 1 THEN 1 END WHEN a.n IS NOT NULL OR b.n > 1 THEN 2 END AS last_updated
+FROM a FULL JOIN b ON a.src = b.src AND a.dst = b.dst""")
+def merge_existing_links(spark, sf_dir):
+    return graph.merge_links(graph.merge_links(_empty_links(spark), _records(spark, sf_dir), 1), _links(spark, sf_dir), 2)
+
+
+@query(f"SELECT src, dst, count(*) AS weight FROM ({_ENDS}) GROUP BY src, dst")
+def merge_incremental_links(spark, sf_dir):
+    rows = table(spark, sf_dir, "links_to")
+    text = F.coalesce(F.col("origin") == "text", F.lit(False))
+    first = graph.merge_links(_empty_links(spark), rows.where(text), 1)
+    return graph.merge_links(first, rows.where(~text), 2).select("src", "dst", "weight")
+
+
+@query(f"""WITH t AS (SELECT DISTINCT unnest([src, dst]) AS title FROM ({_ENDS})), n AS ({_NODES})
+SELECT coalesce(n.title, t.title) AS title, CASE WHEN t.title IS NULL THEN is_base ELSE coalesce(is_base, false) END AS is_base,
+CASE WHEN t.title IS NULL THEN processed_at ELSE coalesce(processed_at, 7) END AS processed_at FROM n FULL JOIN t ON n.title = t.title""")
+def merge_nodes(spark, sf_dir):
+    return graph.merge_nodes(_nodes(spark, sf_dir), _links(spark, sf_dir), 7)
+
+
+@query(f"""WITH n AS ({_NODES}), b AS (SELECT title FROM n WHERE is_base)
+SELECT src, dst, count(*) AS weight FROM ({_ENDS}) WHERE src IN (FROM b) AND dst IN (FROM b) GROUP BY src, dst""")
+def reset_links(spark, sf_dir):
+    links = graph.merge_links(_empty_links(spark), _links(spark, sf_dir), 7)
+    return graph.reset_links(_nodes(spark, sf_dir), links).select("src", "dst", "weight")
+
+
+@query(f"SELECT title, is_base, processed_at FROM ({_NODES}) WHERE is_base")
+def reset_nodes(spark, sf_dir):
+    return graph.reset_nodes(_nodes(spark, sf_dir))
+
+
+@query(f"""WITH t AS (SELECT DISTINCT unnest([src, dst]) AS title FROM ({_ENDS})), l AS (SELECT src, dst, count(*) AS w FROM ({_ENDS}) GROUP BY src, dst)
+SELECT (SELECT count(*) FROM t) AS n_nodes, count(*) AS n_links, CAST(sum(w) AS BIGINT) AS total_weight, 2 * count(*) AS degree_sum FROM l""")
+def graph_stats(spark, sf_dir):
+    edges = _links(spark, sf_dir)
+    nodes = graph.merge_nodes(spark.createDataFrame([], schema.NODES), edges, 7)
+    return graph.graph_stats(nodes, graph.merge_links(_empty_links(spark), edges, 7))
+
+
+@query("""SELECT DISTINCT title AS src, u AS dst, page_id FROM (SELECT page_id, title, captured_at, unnest(entities) AS u FROM page_data WHERE title IS NOT NULL) WHERE u IS NOT NULL""")
+def page_links(spark, sf_dir):
+    pages = table(spark, sf_dir, "page_data")
+    found = pages.groupBy("page_id", "title").agg(F.flatten(F.collect_list("entities")).alias("entities"))
+    return found.where("title is not null").select(F.col("title").alias("src"), F.explode(F.array_distinct("entities")).alias("dst"), "page_id").where("dst is not null")
+
+
+@query("""WITH u AS (SELECT CASE WHEN origin = 'text' THEN 0 ELSE 1 END AS r, edge_id, src, dst FROM links_to WHERE origin IN ('text', 'image')),
+m AS (SELECT src, dst, min(r) AS source_rank FROM u GROUP BY src, dst)
+SELECT m.src, m.dst, source_rank, min(edge_id) AS edge_id FROM m JOIN u ON m.src IS NOT DISTINCT FROM u.src AND m.dst IS NOT DISTINCT FROM u.dst AND m.source_rank = u.r
+GROUP BY m.src, m.dst, source_rank""")
+def links_union_dedup(spark, sf_dir):
+    rows = table(spark, sf_dir, "links_to")
+    return links.first_links(links.union_links(rows.where("origin = 'text'"), rows.where("origin = 'image'")))
+
+
+@query(f"SELECT edge_id, src, dst FROM ({_RECORDS})")
+def link_records(spark, sf_dir):
+    return _records(spark, sf_dir)
+
+
+@query("SELECT edge_id, CAST(json_object('from', src, 'to', dst) AS VARCHAR) AS record FROM links_to WHERE src IS NOT NULL AND dst IS NOT NULL")
+def link_json(spark, sf_dir):
+    return files.link_json(graph.complete(_links(spark, sf_dir)))
+
+
+_PAIRS = "p AS (SELECT DISTINCT src, dst FROM links_to WHERE trim(src) <> '' AND trim(dst) <> ''), d AS (SELECT src, count(*) AS degree FROM p GROUP BY src)"
+
+
+def _clique_sql(hubs: int, cap: int) -> str:
+    return f"""{_PAIRS}, h AS (SELECT src FROM d ORDER BY degree DESC, src LIMIT {hubs}),
+t AS (SELECT * FROM (SELECT p.src, p.dst, row_number() OVER (PARTITION BY p.src ORDER BY p.dst) AS r FROM p JOIN h ON p.src = h.src) WHERE r <= {cap}),
+c AS (SELECT a.src AS hub, a.dst AS src, b.dst AS dst FROM t a JOIN t b ON a.src = b.src AND a.dst <> b.dst)"""
+
+
+@query(f"WITH {_PAIRS} SELECT src, degree FROM d")
+def hotspot_degree(spark, sf_dir):
+    return scenarios.hub_degrees(_links(spark, sf_dir))
+
+
+@query(f"WITH {_PAIRS} SELECT src, degree FROM d ORDER BY degree DESC, src LIMIT 40")
+def hotspot_topk(spark, sf_dir):
+    return scenarios.top_hubs(_links(spark, sf_dir))
+
+
+@query(f"WITH {_clique_sql(1, 200)} SELECT hub, src, dst FROM c")
+def scenario_single_hub(spark, sf_dir):
+    edges = _links(spark, sf_dir)
+    hub = scenarios.top_hubs(edges, 1).first()
+    return scenarios.single_hub_scenario(edges, hub["src"] if hub else "")
+
+
+@query(f"WITH {_clique_sql(40, 60)} SELECT hub, src, dst FROM c")
+def scenario_top_hubs(spark, sf_dir):
+    return scenarios.top_hubs_scenario(_links(spark, sf_dir))
+
+
+@query(f"WITH {_clique_sql(40, 60)} SELECT src, count(*) AS n_targets, count(*) * (count(*) - 1) AS n_edges FROM t GROUP BY src")
+def scenario_sizes(spark, sf_dir):
+    edges = _links(spark, sf_dir)
+    return scenarios.clique_sizes(scenarios.hub_targets(edges, scenarios.top_hubs(edges), scenarios.TOP_CAP))
+
+
+@query(f"WITH {_clique_sql(40, 60)} SELECT src, dst, count(*) AS weight FROM c GROUP BY src, dst")
+def clique_weights(spark, sf_dir):
+    cliques = scenarios.top_hubs_scenario(_links(spark, sf_dir))
+    return graph.merge_links(_empty_links(spark), cliques, 7).select("src", "dst", "weight")
+
+
+_W = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '\A{_W}+|{_W}+\z', '', 'g')"
+
+
+_CLEAN = rf"""a AS (SELECT page_id, string_split({_strip('text')}, chr(10)) AS l FROM (SELECT DISTINCT page_id, text FROM text_dir) WHERE {_strip('text')} <> ''),
+b AS (SELECT page_id, {_strip('l[1]')} AS title, list_transform(l[2:], lambda v: {_strip('v')}) AS b FROM a),
+c AS (SELECT *, list_position(list_transform(b, lambda v: regexp_matches(v, '\A(?:{"|".join(text.TERMINATORS)})')), true) AS cut FROM b),
+d AS (SELECT page_id, title, list_filter(CASE WHEN coalesce(cut, 0) = 0 THEN b ELSE b[1:cut - 1] END,
+lambda v: length(v) > 0 AND len(regexp_split_to_array(v, '{_W}+')) > 4) AS b FROM c),
+e AS (SELECT page_id, title, regexp_replace(regexp_replace(regexp_replace(coalesce(array_to_string(b, chr(10)), ''), '{_W}+', ' ', 'g'), ' +([.!?])', '\1', 'g'),
+'([.!?])([A-Z])', '\1 \2', 'g') AS t FROM d),
+f AS (SELECT page_id, title, {_strip('t')} AS text FROM e)"""
+
+
+@query(f"WITH {_CLEAN} SELECT page_id, title FROM f")
+def text_title(spark, sf_dir):
+    return _clean(spark, sf_dir).select("page_id", "title")
+
+
+@query(f"WITH {_CLEAN} SELECT page_id, title, text FROM f")
+def text_clean(spark, sf_dir):
+    return _clean(spark, sf_dir)
+
+
+def _clean(spark, sf_dir):
+    return pipeline.clean_pages(table(spark, sf_dir, "text_dir").select("page_id", "text").distinct())
+
+
+@query(rf"""WITH {_CLEAN}, s AS (SELECT page_id, unnest(list_filter(list_transform(string_split(regexp_replace(text, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)),
+lambda v: {_strip('v')}), lambda v: length(v) >= 15)) AS sentence FROM f)
+SELECT page_id, sentence, count(*) AS n FROM s GROUP BY page_id, sentence""")
+def text_sentences(spark, sf_dir):
+    found = _clean(spark, sf_dir).select("page_id", F.explode(text.rule_sentences(F.col("text"))).alias("sentence"))
+    return found.groupBy("page_id", "sentence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(rf"""WITH a AS (SELECT page_id, title, {_strip('text')} AS s, label FROM mentions),
+b AS (SELECT page_id, title, s, label, regexp_replace(s, '(?i)^(a|an|the){_W}+', '') AS e FROM a)
+SELECT DISTINCT page_id, title, e AS entity FROM b WHERE label IN ({", ".join(f"'{x}'" for x in entities.LABELS)}) AND length(s) > 3
+AND lower(e) NOT IN ('issn', 'isbn', 'doi') AND NOT regexp_matches(e, 'https?://|\b\d{{4,}}\b') AND length(e) BETWEEN 4 AND 100""")
+def entity_filter(spark, sf_dir):
+    return entities.page_entities(table(spark, sf_dir, "mentions"))
+
+
+@query(rf"""WITH a AS (SELECT mention_id, {_strip("string_split(text, ',')[1]")} AS l FROM mentions)
+SELECT DISTINCT mention_id, CASE WHEN NOT regexp_matches(l, 'n[0-9]') AND length(l) >= 3
+AND lower(l) NOT IN ({", ".join(f"'{x}'" for x in entities.GENERIC_LABELS)}) THEN l END AS label FROM a""")
+def label_clean(spark, sf_dir):
+    return table(spark, sf_dir, "mentions").select("mention_id", entities.clean_label(F.col("text")).alias("label")).distinct()
+
+
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(path, '^.*/', '') AS name FROM text_dir), b AS (SELECT page_id, regexp_replace(name, '^(.+)\.[^.]*$', '\1') AS stem FROM a),
+c AS (SELECT page_id, stem, replace(regexp_replace(stem, '_\d+$', ''), '_', ' ') AS t FROM b)
+SELECT DISTINCT page_id, CASE WHEN t <> '' THEN t ELSE stem END AS title FROM c""")
+def file_title(spark, sf_dir):
+    return table(spark, sf_dir, "text_dir").select("page_id", entities.file_title(F.col("path")).alias("title")).distinct()
+
+
+def _id_sql(c: str) -> str:
+    digits = f"regexp_replace({c}, '[^0-9]', '', 'g')"
+    return f"CAST(CASE WHEN {digits} <> '' THEN right({digits}, 1)::BIGINT % 10 ELSE ('0x' || substr(md5({c}), 1, 8))::BIGINT % 10 END AS INTEGER)"
+
+
+_CODES = f"k AS (SELECT edge_id, src, dst, {_id_sql('src')} AS i, {_id_sql('dst')} AS j FROM ({_ENDS}))"
+
+
+@query(f"WITH {_CODES} SELECT edge_id, i, j, i || '-' || j AS code FROM k")
+def partition_codes(spark, sf_dir):
+    return schedule.with_codes(graph.complete(_links(spark, sf_dir))).select("edge_id", "i", "j", "code")
+
+
+@query(f"WITH {_CODES} SELECT CAST((j - i + 10) % 10 AS INTEGER) AS diagonal, count(*) AS n FROM k GROUP BY 1")
+def diagonal_sizes(spark, sf_dir):
+    coded = schedule.with_codes(graph.complete(_links(spark, sf_dir)))
+    return coded.groupBy(schedule.diagonal().alias("diagonal")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT edge_id, (row_number() OVER (ORDER BY edge_id) - 1) // 1000 AS wave FROM ({_ENDS})")
+def schedule_sequential(spark, sf_dir):
+    return schedule.sequential(graph.complete(_links(spark, sf_dir))).select("edge_id", "wave")
+
+
+@query(f"SELECT edge_id, (row_number() OVER (ORDER BY md5('42|' || edge_id)) - 1) // 1000 AS lane FROM ({_ENDS})")
+def schedule_naive(spark, sf_dir):
+    return schedule.naive_parallel(graph.complete(_links(spark, sf_dir))).select("edge_id", "lane")
+
+
+@query(f"""WITH {_CODES} SELECT edge_id, CAST((j - i + 10) % 10 AS BIGINT) AS wave, CAST(i AS BIGINT) AS lane,
+(row_number() OVER (PARTITION BY i, j ORDER BY edge_id) - 1) // 1000 AS step FROM k""")
+def schedule_mix(spark, sf_dir):
+    return schedule.mix_and_batch(graph.complete(_links(spark, sf_dir))).select("edge_id", "wave", "lane", "step")
+
+
+@query(f"""WITH {_CODES}, s AS (SELECT src, dst, CAST((j - i + 10) % 10 AS BIGINT) AS wave, i AS lane FROM k),
+e AS (SELECT src AS entity, wave, lane FROM s UNION ALL SELECT dst, wave, lane FROM s)
+SELECT entity, wave, count(DISTINCT lane) AS lanes FROM e GROUP BY entity, wave HAVING count(DISTINCT lane) > 1""")
+def contention_report(spark, sf_dir):
+    coded = schedule.with_codes(graph.complete(_links(spark, sf_dir)))
+    return schedule.contention(coded.select("src", "dst", schedule.diagonal().cast("bigint").alias("wave"), F.col("i").alias("lane")))
+
+
+def _scenario_edges(spark, sf_dir):
+    """The 40 top hub cliques with a place in the order of hub and ends; bounded by 40 * 60 * 59 rows."""
+    rows = scenarios.top_hubs_scenario(_links(spark, sf_dir)).orderBy("hub", "src", "dst")
+    return dictionary.number_rows(rows, "edge_id").select("edge_id", "src", "dst")
+
+
+@query("SELECT 0::BIGINT AS endpoint_repeats, 0::BIGINT AS order_violations")
+def color_checks(spark, sf_dir):
+    return coloring.color_violations(materialize(coloring.color_edges(_scenario_edges(spark, sf_dir))))
+
+
+@query()
+def schedule_color(spark, sf_dir):
+    return schedule.color_batch(coloring.color_edges(_scenario_edges(spark, sf_dir)))
+
+
+@query(f"""WITH {_clique_sql(40, 60)}, g AS (SELECT src, dst, count(*) AS w FROM c GROUP BY src, dst)
+SELECT s.strategy, count(*) AS n_links, CAST(sum(w) AS BIGINT) AS total_weight, CAST(sum(w * w) AS BIGINT) AS squares FROM g,
+(VALUES ('batched_parallel'), ('batched_sequential'), ('color_batch'), ('mix_and_batch'), ('naive_parallel'), ('sequential')) s(strategy) GROUP BY s.strategy""")
+def strategy_equivalence(spark, sf_dir):
+    edges, out = materialize(_scenario_edges(spark, sf_dir)), None
+    for strategy in config.STRATEGIES:
+        loaded = graph.merge_links(_empty_links(spark), evaluate.plan(strategy, edges), 7)
+        row = loaded.agg(F.count(F.lit(1)).alias("n_links"), F.sum("weight").alias("total_weight"), F.sum(F.col("weight") * F.col("weight")).alias("squares"))
+        row = row.select(F.lit(strategy.kind).alias("strategy"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("""WITH c AS (SELECT label, arg_min(embedding, vec_id) AS v FROM embeddings WHERE label < 5 GROUP BY label)
+SELECT vec_id, c.label AS category, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) AS similarity FROM embeddings, c""")
+def category_similarity(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    some = rows.where("label < 5").groupBy(F.col("label").alias("category")).agg(F.min_by("embedding", "vec_id").alias("vector"))
+    return entities.category_similarity(rows, some).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"SELECT date_trunc('hour', loaded_at) AS hour, origin, count(*) AS n FROM links_to WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY 1, 2")
+def links_per_hour(spark, sf_dir):
+    rows = table(spark, sf_dir, "links_to").where("src is not null and dst is not null")
+    return rows.groupBy(F.date_trunc("hour", "loaded_at").alias("hour"), "origin").agg(F.count(F.lit(1)).alias("n"))
