@@ -127,17 +127,6 @@ def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _groups(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
 
-def parse_records(raw: DataFrame) -> DataFrame:
-    """``(edge_id, src, dst)`` of JSON link records; what is no JSON object is left out."""
-    schema = "`from` string, `to` string, `_corrupt_record` string"
-    got = F.from_json("record", schema, {"columnNameOfCorruptRecord": "_corrupt_record"})
-    return (
-        raw.select("edge_id", got.alias("r"))
-        .where(F.col("r").isNotNull() & F.col("r._corrupt_record").isNull())
-        .select("edge_id", F.col("r.from").alias("src"), F.col("r.to").alias("dst"))
-    )
-
-
 def link_groups(links: DataFrame, share: float = 1 / 1000) -> DataFrame:
     """``(first_edge_id, edge_id)`` for every link: the smallest id of its group.
 

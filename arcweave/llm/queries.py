@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from arcweave.llm import cooccur, dupes, langid, leak, mixing, sentences, termfreq, variants
 from arcweave.queries import table
+from arcweave.sources.files import parse_link_records
 
 if TYPE_CHECKING:
     from collections.abc import Callable
@@ -92,7 +93,7 @@ def p6_distinct_links(spark, sf_dir):
 
 def _all_links(spark, sf_dir):
     links = table(spark, sf_dir, "links_to").select("edge_id", "src", "dst")
-    return links.unionByName(dupes.parse_records(table(spark, sf_dir, "link_raw")))
+    return links.unionByName(parse_link_records(table(spark, sf_dir, "link_raw")))
 
 
 @query()
