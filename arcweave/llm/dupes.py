@@ -131,7 +131,7 @@ def link_groups(links: DataFrame, share: float = 1 / 1000) -> DataFrame:
     """``(first_edge_id, edge_id)`` for every link: the smallest id of its group.
 
     ``links`` has ``edge_id`` (unique), ``src`` and ``dst``; other columns are
-    ignored. A link without a letter or digit at one end, null ends included,
+    ignored. A link without a letter or digit at one end, null ends and ids included,
     comes out in no row; a link without a copy is its own first. Direction
     counts, letter case does not, accents do. Texts of any length are read whole.
 
@@ -141,7 +141,7 @@ def link_groups(links: DataFrame, share: float = 1 / 1000) -> DataFrame:
     ``2 / share`` rows. All other groups are sorted runs of one shuffle.
     """
     hashed = (
-        links.select("edge_id", "src", "dst").withColumn("h", _ends_hash("src", "dst"))
+        links.where("edge_id is not null").select("edge_id", "src", "dst").withColumn("h", _ends_hash("src", "dst"))
         .where(F.col("h").isNotNull())
         .select("edge_id", "src", "dst", F.col("h.hs").alias("hs"), F.col("h.hd").alias("hd"))
     )

@@ -162,6 +162,13 @@ def _search(items: Items, shortest: int, part: float, stretch: float) -> Callabl
                     got = items.ordered(k, tokens[start : min(start + width, ends[d])])
                     if got > best:
                         best, at = got, start - begin
+                if 0.6 * need <= best < need:  # near: a stretch may begin at any word of the item
+                    low = max(begin, int(places[0]) - width)
+                    own_words = np.isin(tokens[low : int(places[-1]) + 1], items.words[items.start[k] : items.start[k] + own])
+                    for start in (low + np.flatnonzero(own_words)).tolist():
+                        got = items.ordered(k, tokens[start : min(start + width, ends[d])])
+                        if got > best:
+                            best, at = got, start - begin
                 if best >= need:
                     found.append((int(docs[d]), int(items.ids[k]), best, own, int(at)))
             cols = list(zip(*found)) if found else [[]] * 5
@@ -189,7 +196,7 @@ def leaked(
     item's order within a stretch of ``stretch`` times its length; signs of
     spaceless scripts count as words. Case, punctuation, markup and line breaks
     do not matter. Half of those words stand in runs of ``shortest`` or more, as
-    stored in the item. Null and empty texts hold nothing and empty items are not held;
+    stored in the item. Null and empty texts and rows without an id hold nothing, items of fewer than ``shortest`` words are not looked for;
     either table may be empty. Texts are searched whole. ``documents`` needs
     ``doc_id`` and ``text``, ``items`` ``item_id`` and ``text``; other columns are
     ignored, repeated rows come out again.
@@ -197,7 +204,8 @@ def leaked(
     The items are looked up in blocks of ITEM_BLOCK characters, each sent to the
     tasks once; documents are never shuffled.
     """
-    sizes = items.where("text is not null").select("item_id", F.length("text").alias("n")).orderBy("item_id").collect()
+    items = items.where("text is not null and item_id is not null")
+    sizes = items.select("item_id", F.length("text").alias("n")).orderBy("item_id").collect()
     blocks: list[list[int]] = [[]]
     total = 0
     for r in sizes:
@@ -206,10 +214,12 @@ def leaked(
             total = 0
         blocks[-1].append(r["item_id"])
         total += r["n"]
-    texts = documents.where("text is not null and text <> ''").select("doc_id", "text")
+    texts = documents.where("text is not null and text <> '' and doc_id is not null").select("doc_id", "text")
     out = None
     for ids in blocks:
         block = Items([(r["item_id"], r["text"]) for r in items.where(F.col("item_id").isin(ids)).select("item_id", "text").collect()])
+        if not len(block.ids):
+            block = Items([(-1, "\x01 0")])  # no document holds it whole; keeps the plan and the schema
         part_out = texts.mapInArrow(_search(block, shortest, part, stretch), "doc_id bigint, item_id bigint, n_words bigint, item_words bigint, at_word bigint")
         out = part_out if out is None else out.unionByName(part_out)
     return out
