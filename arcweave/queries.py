@@ -262,7 +262,7 @@ def file_title(spark, sf_dir):
 
 def _id_sql(c: str) -> str:
     digits = f"regexp_replace({c}, '[^0-9]', '', 'g')"
-    return f"CAST(CASE WHEN {digits} <> '' THEN right({digits}, 1)::BIGINT % 10 ELSE ('0x' || substr(md5({c}), 1, 8))::BIGINT % 10 END AS INTEGER)"
+    return f"CAST(CASE WHEN {digits} <> '' THEN right({digits}, 1)::BIGINT % 10 ELSE ('0x' || substr(md5({c}), 1, 4))::BIGINT % 10 END AS INTEGER)"
 
 
 _CODES = f"k AS (SELECT edge_id, src, dst, {_id_sql('src')} AS i, {_id_sql('dst')} AS j FROM ({_ENDS}))"
