@@ -173,7 +173,7 @@ def test_languages(spark):
     mixed = "Title\nThe council sold the old mill. Farmers lost most of the harvest.\nКрестьяне потеряли весь урожай. Она написала историю маяка.\nReferences\nder Rat verkaufte die alte Mühle"
     wrong = [(500, rows[0][1], "fr"), (501, mixed, "English"), (502, None, "en"), (503, "", None), (504, "1998 | 3\n4 | 5", None), (None, rows[1][1], None)]
     df = spark.createDataFrame([(*r, "x") for r in rows + wrong], "doc_id bigint, text string, lang string, begin string")
-    model = langid.fit(df, 40)
+    model = langid.fit(df, 40, (150, 250))
     assert set(model.langs) == set(PHRASES)
     got = {(r.doc_id, r.lang) for r in langid.unstated_languages(df, model).collect()}
     assert (500, rows[0][2]) in got and (501, "ru") in got and not any(d in (502, 503, 504) for d, _ in got)
@@ -185,7 +185,7 @@ def test_languages(spark):
 
 def test_held_out_accuracy():
     rows = documents()
-    model = langid.Model([(lang, t) for _, t, lang in rows], {x: 60 for x in PHRASES})
+    model = langid.Model([(lang, t) for _, t, lang in rows], {x: 60 for x in PHRASES}, (150, 250))
     held_out = documents(seed=9, n=80)
     got = model.stretches([t for _, t, _ in held_out])
     right = sum({s[2] for s in runs} == {lang} for runs, (_, _, lang) in zip(got, held_out))
