@@ -65,6 +65,8 @@ _LIST = re.compile(r"(?:[-*•–·‣]|\d{1,3}[.)]|\(?[a-z]\))\s+\S")
 _WORD_BEFORE = re.compile(r"[^\s(\[«“„\"‘»”,;:]+$")
 _WORD_AFTER = re.compile(r"[«“„\"‘'¿¡(\[]*([^\s.,;:!?…)»”“\"]+)")
 _THAI = re.compile("[฀-๿]")
+# What had to fit on a line: a word, which ends before a sign of a script that is broken between any two signs; or one such sign.
+_FIRST = re.compile(r"[^\s\u3000-\u30ff\u3400-\u9fff\uff00-\uffef]+|\S")
 
 
 def _cjk(ch: str) -> bool:
@@ -306,7 +308,8 @@ def paragraphs(text: str) -> list[tuple[int, int, bool]]:
 
     Lines are joined where a paragraph was wrapped: neither is a list line and the
     next line's first word would not have fitted on the line before, at the width
-    of the block's longest line.
+    of the block's longest line. In Chinese and Japanese, where a line may break
+    between any two signs, the first sign is that word.
     """
     out: list[tuple[int, int, bool]] = []
     block: list[tuple[int, int]] = []
@@ -317,7 +320,7 @@ def paragraphs(text: str) -> list[tuple[int, int, bool]]:
             item = bool(_LIST.match(text, a, b))
             if k and not item and not out[-1][2] and 40 <= width <= 160:
                 before = block[k - 1]
-                word = text[a:b].split(None, 1)[0]
+                word = _FIRST.match(text, a, b).group()
                 runs_on = before[1] - before[0] >= 40 and text[a].islower() and text[before[1] - 1] not in ".!?…:"
                 if runs_on or before[1] - before[0] + 1 + len(word) > width:
                     out[-1] = (out[-1][0], b, False)

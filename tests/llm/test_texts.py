@@ -37,6 +37,15 @@ def test_wrapped_lines_and_offsets():
     assert len(got) == 2 and got[0].endswith("sentence.") and got[1].startswith("A second") and got[1].endswith("ends.")
 
 
+def test_wrapped_lines_without_spaces():
+    long = "珂珂说：“我们天亮以前出发。”考察队检查了五口水井，这是没有人预料到的。农民失去了大部分收成，船员们等着。"
+    assert cut("题\n地理\n" + long)[:2] == ["地理", "珂珂说：“我们天亮以前出发。”"]
+    assert cut("题\n地理\nKerem说" + long[3:])[:2] == ["地理", "Kerem说：“我们天亮以前出发。”"]
+    body = "長い遅れの後、渡し船は穀物と塩を運んでいたが、それは誰も予想していなかった。調査隊は五十か所の井戸を調べた。指数は上がった。"
+    wrapped = body[:45] + "\n" + body[45:]
+    assert [u.replace("\n", "") for u in cut("題\n" + wrapped)] == cut("題\n" + body)
+
+
 @pytest.mark.parametrize("text", [None, "", " \n", "Title", "Title\n\n \n", "Title\nSee also\nx", "T\n" + "." * 50, "T\n" + "a" * 200_000, "T\n" + "Ein Satz. " * 20_000])
 def test_every_sign_is_in_one_unit(text):
     units = sentences.units(text)
