@@ -2,8 +2,9 @@
 
 Every shard of documents gets a suffix array over its words. Every suffix of every
 test item is looked up in it by binary search, which gives all verbatim matches
-and their places; each match is extended to its longest. Documents whose matches
-with an item could add up to a leak are then compared word by word.
+and their places; each match is extended to its longest. Counting an item's words
+says which stretches could hold enough of them; these are compared word by word,
+the one at the longest match first, as far as they could still hold more.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ if TYPE_CHECKING:
 
 SHARD = 400_000          # words of a shard
 ITEM_BLOCK = 8_000_000   # characters of test items looked up in one pass
+HITS = 4_000_000         # places of item words counted in one pass
 
 
 def in_runs(tokens: np.ndarray, shortest: int) -> np.ndarray:
@@ -70,6 +72,7 @@ class Items:
         self.owner = np.repeat(np.arange(len(self.ids)), self.size + 1)
         self.owner = np.concatenate([[-1], self.owner])
         self.depth = int(self.size.max(initial=1))
+        self.masks: tuple[int, dict[int, int]] = (-1, {})  # of the item compared last
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Integer words of all texts, 0 after each text and for words no item has; offsets."""
@@ -114,19 +117,79 @@ class Items:
             hi = np.where(open_ & ~right, mid, hi)
         return lo
 
+    def stretches(self, tokens: np.ndarray, ends: np.ndarray, need: np.ndarray, width: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, token place, words) of every stretch that begins with an item word and holds ``need`` words of the item or more.
+
+        No stretch is missed: of ``need`` words, all but those left out are among an
+        item's rarest words, so only stretches that hold as many of these are counted.
+        """
+        places = np.argsort(tokens, kind="stable")
+        codes = len(self.vocabulary) + 1
+        often = np.bincount(tokens, minlength=codes)
+        begin = np.cumsum(often) - often
+        # every item's distinct words, the rarest in the shard first, and how many words of the item they make up
+        at = np.flatnonzero(self.words)
+        pair, times = np.unique(self.owner[at].astype(np.int64) * codes + self.words[at], return_counts=True)
+        item, word = pair // codes, pair % codes
+        order = np.lexsort((often[word], item))
+        item, word, times = item[order], word[order], times[order]
+        so_far = np.cumsum(times) - times
+        so_far -= so_far[np.searchsorted(item, np.arange(len(self.ids)))][item]
+        least = need - np.maximum(1, -(-need // 3))  # words that may be outside the rarest
+        rare = so_far < (self.size - least)[item]
+        held = np.bincount(item[rare], times[rare], len(self.ids)).astype(np.int64)
+        enough = need - (self.size - held)
+        item, word = item[rare], word[rare]
+        hits = np.bincount(item, often[word], len(self.ids)).astype(np.int64)
+        part = np.cumsum(hits) // HITS
+        for block in np.unique(part):
+            mine = part[item] == block
+            k, n = item[mine], often[word[mine]]
+            owner = np.repeat(k, n)
+            p = places[np.repeat(begin[word[mine]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            key = np.sort(owner * len(tokens) + p)
+            owner, p = key // len(tokens), key % len(tokens)
+            last = np.arange(len(p)) + enough[owner] - 1
+            near = np.minimum(last, len(p) - 1)
+            ok = (last < len(p)) & (owner[near] == owner) & (p[near] - p < width[owner])
+            k, lo, hi = owner[ok], np.maximum(p[near[ok]] - width[owner[ok]] + 1, 0), p[ok]
+            if not len(k):
+                continue
+            fresh = np.flatnonzero((np.diff(k, prepend=-1) != 0) | (lo > np.concatenate([[-1], hi[:-1]])))
+            k, lo, hi = k[fresh], lo[fresh], hi[np.append(fresh[1:], len(hi)) - 1]
+            size = np.minimum(hi + width[k], len(tokens)) - lo
+            cuts = np.flatnonzero(np.diff(np.cumsum(size) // HITS, prepend=-1, append=-1))
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                yield self._counted(tokens, ends, need, width, pair, k[i:j], lo[i:j], hi[i:j], size[i:j])
+
+    def _counted(self, tokens, ends, need, width, pair, k, lo, hi, size):
+        """The stretches that begin at ``lo`` to ``hi``; ``pair``: all items' words, sorted."""
+        piece = np.repeat(np.arange(len(k)), size)
+        p = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + lo[piece]
+        want = k[piece] * (len(self.vocabulary) + 1) + tokens[p]
+        own = (tokens[p] > 0) & (pair[np.minimum(np.searchsorted(pair, want), len(pair) - 1)] == want)
+        total = np.concatenate([[0], np.cumsum(own)])
+        at = np.flatnonzero(own & (p <= hi[piece]))
+        k, p = k[piece[at]], p[at]
+        words = total[at + np.minimum(width[k], ends[np.searchsorted(ends, p, "right")] - p)] - total[at]
+        yes = words >= need[k]
+        return k[yes], p[yes], words[yes]
+
     def ordered(self, item: int, stretch: np.ndarray) -> int:
         """Most words of an item that ``stretch`` holds in the item's order (bit-parallel)."""
-        own = self.words[self.start[item] : self.start[item] + self.size[item]]
-        masks: dict[int, int] = {}
-        for k, w in enumerate(own.tolist()):
-            masks[w] = masks.get(w, 0) | 1 << k
-        full = (1 << len(own)) - 1
+        if self.masks[0] != item:
+            own = self.words[self.start[item] : self.start[item] + self.size[item]]
+            self.masks = item, {}
+            for k, w in enumerate(own.tolist()):
+                self.masks[1][w] = self.masks[1].get(w, 0) | 1 << k
+        masks, size = self.masks[1], int(self.size[item])
+        full = (1 << size) - 1
         row = full
-        for w in stretch.tolist():
+        for w in stretch[stretch > 0].tolist():
             if m := masks.get(w):
                 u = row & m
                 row = (row + u | row - u) & full
-        return len(own) - row.bit_count()
+        return size - row.bit_count()
 
 
 def _search(items: Items, shortest: int, part: float, stretch: float) -> Callable:
@@ -138,39 +201,39 @@ def _search(items: Items, shortest: int, part: float, stretch: float) -> Callabl
             docs, tokens = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             starts = np.concatenate([h[2][:-1] + s for h, s in zip(held, np.cumsum([0, *(len(h[1]) for h in held)]))])
             ends = np.append(starts[1:], len(tokens))
-            found = []
             a, p, n = items.matches(tokens, shortest)
-            doc, item = np.searchsorted(ends, p, "right"), items.owner[a]
-            pair = doc * len(items.ids) + item
-            order = np.argsort(pair, kind="stable")
-            pair, a, p, n = pair[order], a[order], p[order], n[order]
-            begins = np.flatnonzero(np.diff(pair, prepend=-1))
-            runs = np.add.reduceat(n, begins) if len(begins) else begins
-            need = part * items.size[pair[begins] % len(items.ids)] if len(begins) else begins
-            some = np.flatnonzero(2 * runs >= need)
-            for i, j in zip(begins[some].tolist(), np.append(begins[1:], len(pair))[some].tolist()):
-                d, k = divmod(int(pair[i]), len(items.ids))
-                own = int(items.size[k])
-                need = part * own
-                begin = int(starts[d])
-                width = int(stretch * own + 0.5)
-                best, at = 0, 0
-                by = np.argsort(p[i:j], kind="stable") + i
-                places, run = p[by], np.concatenate([[0], np.cumsum(n[by])])
-                inside = run[np.searchsorted(places, places + width)] - run[:-1]
-                for start in np.unique(places[inside >= need / 2]).tolist():
-                    got = items.ordered(k, tokens[start : min(start + width, ends[d])])
-                    if got > best:
-                        best, at = got, start - begin
-                if 0.6 * need <= best < need:  # near: a stretch may begin at any word of the item
-                    low = max(begin, int(places[0]) - width)
-                    own_words = np.isin(tokens[low : int(places[-1]) + 1], items.words[items.start[k] : items.start[k] + own])
-                    for start in (low + np.flatnonzero(own_words)).tolist():
-                        got = items.ordered(k, tokens[start : min(start + width, ends[d])])
-                        if got > best:
-                            best, at = got, start - begin
-                if best >= need:
-                    found.append((int(docs[d]), int(items.ids[k]), best, own, int(at)))
+            pair = np.searchsorted(ends, p, "right") * len(items.ids) + items.owner[a]
+            order = np.lexsort((p, -n, pair))
+            matched, first = np.unique(pair[order], return_index=True)
+            longest = dict(zip(matched.tolist(), p[order[first]].tolist()))
+            need, width = np.ceil(part * items.size).astype(np.int64), (stretch * items.size + 0.5).astype(np.int64)
+            need = np.where(items.size < shortest, items.size + 1, np.maximum(need, 1))
+            best: dict[int, tuple[int, int]] = {}
+            for k, p, n in items.stretches(tokens, ends, need, width):
+                pair = np.searchsorted(ends, p, "right") * len(items.ids) + k
+                order = np.lexsort((p, pair, k))
+                last, skip = -1, 0
+                for key, item, place, most in zip(*(x[order].tolist() for x in (pair, k, p, n))):
+                    d = key // len(items.ids)
+                    if key not in best:
+                        best[key] = int(need[item]) - 1, -1
+                        tries = [longest[key], place] if key in longest else [place]
+                    else:
+                        tries = [place]
+                    if key != last:
+                        last, skip = key, 0
+                    for start in tries:
+                        if most > best[key][0] and (start >= skip or start != place):
+                            got = items.ordered(item, tokens[start : min(start + int(width[item]), ends[d])])
+                            if got > best[key][0]:
+                                best[key] = got, start - int(starts[d])
+                            if start == place:  # a stretch that begins k words on holds k words more at most
+                                skip = start + best[key][0] + 1 - got
+            found = []
+            for key, (got, at) in best.items():
+                if at >= 0:
+                    d, k = divmod(key, len(items.ids))
+                    found.append((int(docs[d]), int(items.ids[k]), got, int(items.size[k]), at))
             cols = list(zip(*found)) if found else [[]] * 5
             return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_words", "item_words", "at_word"])
 
@@ -195,8 +258,7 @@ def leaked(
     A document holds an item if at least ``part`` of the item's words stand in the
     item's order within a stretch of ``stretch`` times its length; signs of
     spaceless scripts count as words. Case, punctuation, markup and line breaks
-    do not matter. Half of those words stand in runs of ``shortest`` or more, as
-    stored in the item. Null and empty texts and rows without an id hold nothing, items of fewer than ``shortest`` words are not looked for;
+    do not matter, and the words need not stand in runs. Null and empty texts and rows without an id hold nothing, items of fewer than ``shortest`` words are not looked for;
     either table may be empty. Texts are searched whole. ``documents`` needs
     ``doc_id`` and ``text``, ``items`` ``item_id`` and ``text``; other columns are
     ignored, repeated rows come out again.

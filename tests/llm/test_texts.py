@@ -115,6 +115,26 @@ def test_leaks(spark):
     assert leak.leaked(rows, items.limit(0)).count() == leak.leaked(rows.limit(0), items).count() == 0
 
 
+def test_leaks_without_runs(spark, monkeypatch):
+    monkeypatch.setattr(leak, "HITS", 40, raising=False)
+    words = ITEM.split()
+    rng = random.Random(6)
+    spread = [x for k in range(0, len(words), 2) for x in (*words[k : k + 2], f"w{k}")]  # a word after every second one
+    late = [x for w in words[:8] for x in (w, "x")] + words[12:17]  # the first half lies before the only run
+    docs = [(0, spread), (1, late), (2, words[::3])]
+    for k in range(3, 120):
+        text = [rng.choice(words) if rng.random() < 0.2 else f"w{k}" for _ in range(60)]
+        n = rng.randrange(7, 14)
+        for place, w in zip(sorted(rng.sample(range(36), n)), sorted(rng.sample(range(len(words)), n))):
+            text[place + 10] = words[w]
+        docs.append((k, text))
+    rows = spark.createDataFrame([(k, " ".join(t)) for k, t in docs], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, ITEM), (2, "no such words at all")], "item_id bigint, text string")
+    want = {k for k, t in docs if held(words, t)}
+    assert {0, 1} < want and 2 not in want and 10 < len(want) < 110
+    assert {(r.doc_id, r.item_id) for r in leak.leaked(rows, items).collect()} == {(k, 1) for k in want}
+
+
 def test_item_blocks(spark, monkeypatch):
     monkeypatch.setattr(leak, "ITEM_BLOCK", 50)
     items = spark.createDataFrame([(k, f"{ITEM} number {k} and so on") for k in range(4)], "item_id bigint, text string")
