@@ -114,3 +114,12 @@ def target_report(
     best = F.slice(F.array_sort("lead"), 1, hubs)
     shown = F.array_join(F.transform(best, lambda x: F.concat(x["s"], F.lit("="), (-x["m"]).cast("string"))), " | ")
     return parts.select(F.col("k").alias(key), "n_links", "n_src", shown.alias("hubs"))
+
+
+def target_hubs(links: DataFrame, key: str = "dst", source: str = "src") -> DataFrame:
+    """``(key, source, n)``: every non-blank source of every non-blank target with its number of links.
+
+    The whole hub lists, of which ``target_report`` shows the first. Rows are counted
+    per pair, map side first, so no task holds all links of a heavy target.
+    """
+    return links.where(not_blank(key) & not_blank(source)).groupBy(key, source).agg(F.count(F.lit(1)).alias("n"))

@@ -57,6 +57,11 @@ def p4_target_report(spark, sf_dir):
     return skew.target_report(table(spark, sf_dir, "links_to"))
 
 
+@query("SELECT dst, src, count(*) AS n FROM links_to WHERE trim(dst) <> '' AND trim(src) <> '' GROUP BY dst, src")
+def p4_target_hubs(spark, sf_dir):
+    return skew.target_hubs(table(spark, sf_dir, "links_to"))
+
+
 _ENDS = "SELECT edge_id, src, dst FROM links_to WHERE src IS NOT NULL AND dst IS NOT NULL"
 _RECORDS = "SELECT edge_id, json_extract_string(record, '$.from') AS src, json_extract_string(record, '$.to') AS dst FROM link_raw WHERE json_valid(record)"
 _NODES = "SELECT title, bool_or(is_base) AS is_base, min(processed_at) AS processed_at FROM entity WHERE title IS NOT NULL GROUP BY title"

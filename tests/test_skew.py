@@ -18,6 +18,14 @@ def test_heavy_hitters(spark):
     assert skew.heavy_hitters(df.limit(0), "dst").count() == 0
 
 
+def test_hubs_are_whole(spark):
+    data, df = rows(spark)
+    want = Counter((d, s) for d, s in data if d and d.strip() and s and s.strip())
+    got = {(r.dst, r.src): r.n for r in skew.target_hubs(df.withColumnRenamed("n", "m")).collect()}
+    assert got == want and len([s for d, s in got if d == "hot"]) == 40
+    assert skew.target_hubs(df.limit(0)).count() == 0
+
+
 def test_report(spark):
     data, df = rows(spark)
     for share in (1 / 20, 0.9):
