@@ -17,16 +17,17 @@ def number_rows(df: DataFrame, name: str = "id") -> DataFrame:
 
     The rows are first written with their place inside their partition, so a
     recomputed task can't renumber them; only the sizes of the partitions come
-    to the driver. The cost is one table and no further shuffle.
+    to the driver and go back as a broadcast table of one row a partition. The cost
+    is one table and no further shuffle.
     """
     placed = materialize(df.select(
         "*", F.spark_partition_id().alias("_p"),
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_i"),
     ))
-    sizes = {r["_p"]: r["n"] for r in placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).orderBy("_p").collect()
     starts, total = [], 0
-    for p in range(max(sizes, default=-1) + 1):
-        starts.append(total)
-        total += sizes.get(p, 0)
-    start = F.element_at(F.array(*map(F.lit, starts)).cast("array<bigint>"), F.col("_p") + 1) if starts else F.lit(0)
-    return placed.select(*df.columns, (start + F.col("_i")).cast("bigint").alias(name))
+    for r in sizes:
+        starts.append((r["_p"], total))
+        total += r["n"]
+    start = df.sparkSession.createDataFrame(starts, "_p int, _s bigint")
+    return placed.join(F.broadcast(start), "_p").select(*df.columns, (F.col("_s") + F.col("_i")).alias(name))

@@ -11,7 +11,19 @@ from pyspark.sql import functions as F
 if TYPE_CHECKING:
     from collections.abc import Sequence
 
-    from pyspark.sql import Column, DataFrame
+    from pyspark.sql import Column, DataFrame, SparkSession
+
+FINEST = 8192   # a share below 1 in so many would make the sketches of all tasks too large to merge
+
+
+def fair_share(spark: SparkSession, coarsest: int = 200) -> float:
+    """Share of the rows above which a key is heavy: a quarter of what a shuffle partition holds.
+
+    At least 1 in FINEST, at most 1 in ``coarsest``. A key below it fills no partition
+    out of proportion; joins on it are split further by the adaptive planner.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return 1 / min(FINEST, max(coarsest, 4 * parts))
 
 
 def not_blank(c: Column | str) -> Column:
@@ -53,15 +65,16 @@ def heavy_hitters(df: DataFrame, key: str, share: float = 1 / 200) -> DataFrame:
     )
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, share: float = 1 / 200) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, key: str, share: float | None = None) -> DataFrame:
     """Inner join on ``key`` where a few values hold most rows of ``left``.
 
     ``right`` has one row per key. Its rows for the heavy values of ``left``
     (at most ``2 / share`` of them) are broadcast, all others meet ``left`` in an
     ordinary shuffle join, and the two parts are united. Null keys match nothing.
-    Columns of both sides other than ``key`` must have different names.
+    Columns of both sides other than ``key`` must have different names. ``share`` is
+    ``fair_share`` if it is not given.
     """
-    values, _ = key_candidates(left, F.col(key), share)
+    values, _ = key_candidates(left, F.col(key), share or fair_share(left.sparkSession))
     if not values:
         return left.join(right, key)
     spark = left.sparkSession
@@ -72,7 +85,7 @@ def split_join(left: DataFrame, right: DataFrame, key: str, share: float = 1 / 2
 
 
 def target_report(
-    links: DataFrame, key: str = "dst", source: str = "src", hubs: int = 10, share: float = 1 / 200, salts: int = 64,
+    links: DataFrame, key: str = "dst", source: str = "src", hubs: int = 10, share: float | None = None, salts: int = 64,
 ) -> DataFrame:
     """Links, linking pages and leading hubs of every target.
 
@@ -83,14 +96,14 @@ def target_report(
     sources only in ``n_links``. An empty table gives no rows.
 
     Rows are first reduced to one per (target, source). Targets that the sketch
-    calls heavy are spread over ``salts`` sub-groups by a broadcast join, ranked
+    calls heavy (``share`` of the rows, ``fair_share`` if not given) are spread over ``salts`` sub-groups by a broadcast join, ranked
     there and ranked again over the survivors; all others are ranked after one
     ordinary shuffle; the two parts are united.
     """
     rows = links.where(not_blank(key)).select(
         F.col(key).alias("k"), F.when(not_blank(source), F.col(source)).alias("s")
     )
-    values, _ = key_candidates(rows, F.col("k"), share)
+    values, _ = key_candidates(rows, F.col("k"), share or fair_share(links.sparkSession))
     names = F.broadcast(links.sparkSession.createDataFrame([(v,) for v in values], "k string"))
     pairs = rows.groupBy("k", "s").agg(F.count(F.lit(1)).alias("n"))
 
