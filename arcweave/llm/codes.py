@@ -33,6 +33,30 @@ class Table:
         return out
 
 
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all values end to end, and the offsets of each value; nulls are empty."""
+    column = column.fill_null("").cast(pa.large_string())
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def byte_codes(data: np.ndarray, table: Table) -> np.ndarray:
+    """Folded code at the first byte of every kept letter, 0 at all other bytes of the UTF-8 stream."""
+    out = table(np.minimum(data, 128)) if len(data) else np.zeros(0, np.uint32)
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first = data[lead]
+        size = 2 + (first >= 0xE0).astype(np.int64) + (first >= 0xF0)
+        code = (first & np.array([0x1F, 0x0F, 0x07], np.uint8)[size - 2]).astype(np.uint32)
+        for k in (1, 2, 3):
+            more = size > k
+            code[more] = (code[more] << 6) | (data[lead[more] + k] & 0x3F)
+        out[lead] = table(code)
+    return out
+
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -55,12 +79,7 @@ def mixed(codes: np.ndarray) -> np.ndarray:
 
 def code_units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all values end to end (bytes if all is ASCII), and the offsets of each value; nulls are empty."""
-    column = column.fill_null("").cast(pa.large_string())
-    if not len(column):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
+    data, offsets = text_bytes(column)
     if len(data) and data.max() >= 128:
         starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         data = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
