@@ -29,28 +29,38 @@ def test_pairs(spark, monkeypatch):
     df = spark.createDataFrame([(k, sorted(b)) for k, b in enumerate(baskets)], "record int, items array<string>")
     want = brute_pairs(baskets, 3, 1.2)
     assert want
-    for size, dense in ((256, 256), (4, 5)):
-        monkeypatch.setattr(cooccur, "SLICE", size)
+    for large, dense, width, load in ((1024, 256, 256, 1 << 20), (10, 8, 4, 20), (1024, 3, 3, 1 << 20)):
+        monkeypatch.setattr(cooccur, "LARGE", large)
+        monkeypatch.setattr(cooccur, "SLICE", 4)
         monkeypatch.setattr(cooccur, "DENSE", dense)
+        monkeypatch.setattr(cooccur, "WIDTH", width)
+        monkeypatch.setattr(cooccur, "LOAD", load)
+        monkeypatch.setattr(cooccur, "SMALL", 100 if width == 4 else 0)
         got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b) for r in cooccur.cooccurrence(df, 3, 1.2).collect()}
         assert got == want
 
 
 def test_gram_blocks(monkeypatch):
-    """A basket cut into item blocks, and small record blocks, give the same sums."""
-    monkeypatch.setattr(cooccur, "DENSE", 3)
+    """Dense products, item blocks and slices add up to all pairs, however little is held."""
     monkeypatch.setattr(cooccur, "BLOCK", 4)
     monkeypatch.setattr(cooccur, "PAIRS", 2)
-    whole = [[0, 1, 2, 5], [1, 5, 6], [0, 6], [2]]
+    whole = [[0, 1, 2, 5], [1, 5, 6], [0, 6], [0, 2], [1, 5, 6, 7]]
     split = [([0, 1], [0, 1]), ([0, 1], [4, 6]), ([4, 6], [4, 6])]
     kind = pa.list_(pa.int64())
-    batch = pa.record_batch([pa.array(whole + [a for a, _ in split], kind), pa.array([None] * 4 + [b for _, b in split], kind)], names=["left", "right"])
-    got = Counter()
-    for out in cooccur._gram(iter([batch.slice(0, 2), batch.slice(2)])):
-        for r in out.to_pylist():
-            got[r["i"], r["j"]] += r["n"]
+    prefixes = sorted(((b, x[: max(k for k, j in enumerate(x) if j // 3 == b) + 1]) for x in whole for b in {j // 3 for j in x if j >= 3}), key=lambda r: r[0])
+    block = pa.record_batch([pa.array([b for b, _ in prefixes]), pa.array([1] * len(prefixes)), pa.array([x for _, x in prefixes], kind)], names=["b", "salts", "ids"])
+    dense = pa.record_batch([pa.array([[j for j in x if j < 3] for x in whole], kind)], names=["ids"])
+    slices = pa.record_batch([pa.array([a for a, _ in split], kind), pa.array([b for _, b in split], kind)], names=["left", "right"])
     want = Counter(p for b in [*whole, [0, 1, 4, 6]] for p in combinations(b, 2))
-    assert got == want
+    for held in (1, 100):
+        monkeypatch.setattr(cooccur, "HELD", held)
+        got = Counter()
+        for out in [*cooccur._dense(3)(iter([dense])), *cooccur._blocks(3, 1)(iter([block.slice(0, 3), block.slice(3)])), *cooccur._slices(iter([slices]))]:
+            for r in out.to_pylist():
+                got[r["i"], r["j"]] += r["n"]
+        assert got == want
+    early = [r for out in cooccur._blocks(3, 2)(iter([block])) for r in out.to_pylist()]
+    assert early and all(r["n"] >= 2 for r in early)
 
 
 def test_latest_baskets(spark):
@@ -118,6 +128,16 @@ def test_groups(spark):
     assert dupes.link_groups(df.limit(0)).count() == 0
 
 
+def test_long_values(monkeypatch):
+    monkeypatch.setattr(dupes, "STEP", 100)
+    a, b = "Ab漢-é" * 700, ", ".join("aB漢É" * 700)
+    column = pa.array([a, b, b[:-1] + "x", a + "!", "kurz"])
+    hashes, n = dupes.fold_hash(column)
+    assert n.tolist() == [2800, 2800, 2800, 2800, 4] and hashes[0] == hashes[1] == hashes[3] and hashes[0] != hashes[2]
+    assert dupes.same_folded(column, pa.array([b, a, a, b, "KURZ."])).tolist() == [True, True, False, True, True]
+    assert dupes.same_folded(column, pa.array([b + "y", b[2:], b[:-1] + "X", None, None])).tolist() == [False, False, True, False, False]
+
+
 def test_colliding_hashes_are_told_apart():
     batch = pa.record_batch(
         [pa.array([7] * 5), pa.array([7] * 5), pa.array([1, 2, 3, 4, 5]), pa.array(["ab", "A-B", "xy", "ab.", "X y"]), pa.array(["c"] * 5)],
