@@ -13,8 +13,6 @@ from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
-
 from arcweave.llm.codes import chunks, word_hashes
 
 if TYPE_CHECKING:
@@ -22,8 +20,8 @@ if TYPE_CHECKING:
 
     from pyspark.sql import DataFrame
 
-SHARD = 400_000          # words of a shard
-ITEM_BLOCK = 8_000_000   # characters of test items looked up in one pass
+SHARD = 2_500_000        # bytes of a shard
+ITEM_BLOCK = 8_000_000   # characters of test items sent out at once
 HITS = 4_000_000         # places of item words counted in one pass
 
 
@@ -192,64 +190,98 @@ class Items:
         return size - row.bit_count()
 
 
-def _search(items: Items, shortest: int, part: float, stretch: float) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def shard() -> pa.RecordBatch:
-            docs, tokens = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            starts = np.concatenate([h[2][:-1] + s for h, s in zip(held, np.cumsum([0, *(len(h[1]) for h in held)]))])
-            ends = np.append(starts[1:], len(tokens))
-            a, p, n = items.matches(tokens, shortest)
-            pair = np.searchsorted(ends, p, "right") * len(items.ids) + items.owner[a]
-            order = np.lexsort((p, -n, pair))
-            matched, first = np.unique(pair[order], return_index=True)
-            longest = dict(zip(matched.tolist(), p[order[first]].tolist()))
-            need, width = np.ceil(part * items.size).astype(np.int64), (stretch * items.size + 0.5).astype(np.int64)
-            need = np.where(items.size < shortest, items.size + 1, np.maximum(need, 1))
-            best: dict[int, tuple[int, int]] = {}
-            for k, p, n in items.stretches(tokens, ends, need, width):
-                pair = np.searchsorted(ends, p, "right") * len(items.ids) + k
-                order = np.lexsort((p, pair, k))
-                last, skip = -1, 0
-                for key, item, place, most in zip(*(x[order].tolist() for x in (pair, k, p, n))):
-                    d = key // len(items.ids)
-                    if key not in best:
-                        best[key] = int(need[item]) - 1, -1
-                        tries = [longest[key], place] if key in longest else [place]
-                    else:
-                        tries = [place]
-                    if key != last:
-                        last, skip = key, 0
-                    for start in tries:
-                        if most > best[key][0] and (start >= skip or start != place):
-                            got = items.ordered(item, tokens[start : min(start + int(width[item]), ends[d])])
-                            if got > best[key][0]:
-                                best[key] = got, start - int(starts[d])
-                            if start == place:  # a stretch that begins k words on holds k words more at most
-                                skip = start + best[key][0] + 1 - got
-            found = []
-            for key, (got, at) in best.items():
-                if at >= 0:
-                    d, k = divmod(key, len(items.ids))
-                    found.append((int(docs[d]), int(items.ids[k]), got, int(items.size[k]), at))
-            cols = list(zip(*found)) if found else [[]] * 5
-            return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_words", "item_words", "at_word"])
+def _loaded(block) -> Items:
+    """Value of a broadcast block of items; with many blocks none stays in memory after its turn."""
+    items = block.value
+    if getattr(block, "_path", None) is not None and hasattr(block, "_value"):
+        del block._value
+    return items
+
+
+def _held(items: Items, docs, tokens, starts, shortest: int, part: float, stretch: float) -> Iterator[tuple[int, int, int, int, int]]:
+    """(document, item, words held, item's words, place) of a shard of documents."""
+    ends = np.append(starts[1:], len(tokens))
+    a, p, n = items.matches(tokens, shortest)
+    pair = np.searchsorted(ends, p, "right") * len(items.ids) + items.owner[a]
+    order = np.lexsort((p, -n, pair))
+    matched, first = np.unique(pair[order], return_index=True)
+    longest = dict(zip(matched.tolist(), p[order[first]].tolist()))
+    need, width = np.maximum(np.ceil(part * items.size).astype(np.int64), 1), (stretch * items.size + 0.5).astype(np.int64)
+    best: dict[int, tuple[int, int]] = {}
+    for k, p, n in items.stretches(tokens, ends, need, width):
+        pair = np.searchsorted(ends, p, "right") * len(items.ids) + k
+        order = np.lexsort((p, pair, k))
+        last, skip = -1, 0
+        for key, item, place, most in zip(*(x[order].tolist() for x in (pair, k, p, n))):
+            d = key // len(items.ids)
+            if key not in best:
+                best[key] = int(need[item]) - 1, -1
+                tries = [longest[key], place] if key in longest else [place]
+            else:
+                tries = [place]
+            if key != last:
+                last, skip = key, 0
+            for start in tries:
+                if most > best[key][0] and (start >= skip or start != place):
+                    got = items.ordered(item, tokens[start : min(start + int(width[item]), ends[d])])
+                    if got > best[key][0]:
+                        best[key] = got, start - int(starts[d])
+                    if start == place:  # a stretch that begins k words on holds k words more at most
+                        skip = start + best[key][0] + 1 - got
+    for key, (got, at) in best.items():
+        if at >= 0:
+            d, k = divmod(key, len(items.ids))
+            yield int(docs[d]), int(items.ids[k]), got, int(items.size[k]), at
+
+
+def _search(blocks: list, shortest: int, part: float, stretch: float) -> Callable:
+    """Documents to the items they hold: every shard of documents meets all blocks of items in turn."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shard(ids: list[np.ndarray], texts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+            docs = np.concatenate(ids)
+            for block in blocks:
+                items = _loaded(block) if len(blocks) > 1 else block.value
+                coded = [items.encode(t) for t in texts]
+                tokens = np.concatenate([c[0] for c in coded])
+                starts = np.concatenate([c[1][:-1] + s for c, s in zip(coded, np.cumsum([0, *(len(c[0]) for c in coded)]))])
+                found = list(zip(*_held(items, docs, tokens, starts, shortest, part, stretch)))
+                if found:
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in found], names=["doc_id", "item_id", "n_words", "item_words", "at_word"])
+
+        ids, texts, size = [], [], 0
         for batch in batches:
-            for begin, texts in chunks(batch.column(1)):
-                held.append((batch.column(0).slice(begin, len(texts)).to_numpy(), *items.encode(texts)))
-                size += len(held[-1][1])
+            for begin, some in chunks(batch.column(1)):
+                ids.append(batch.column(0).slice(begin, len(some)).to_numpy())
+                texts.append(some)
+                size += some.nbytes
                 if size >= SHARD:
-                    yield shard()
-                    held, size = [], 0
-        if held:
-            yield shard()
+                    yield from shard(ids, texts)
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield from shard(ids, texts)
 
     return run
 
 
+def _item_blocks(items: DataFrame) -> Iterator[Items]:
+    """The items in blocks of about ITEM_BLOCK characters; the driver holds one partition of them and one block at a time."""
+    held: list[tuple[int, str]] = []
+    size = 0
+    for r in items.where("text is not null and item_id is not null").select("item_id", "text").toLocalIterator():
+        held.append((r["item_id"], r["text"]))
+        size += len(r["text"])
+        if size >= ITEM_BLOCK:
+            if len((block := Items(held)).ids):
+                yield block
+            held, size = [], 0
+    if held and len((block := Items(held)).ids):
+        yield block
+
+
+_FOUND = "doc_id bigint, item_id bigint, n_words bigint, item_words bigint, at_word bigint"
+
+
 def leaked(
     documents: DataFrame, items: DataFrame, part: float = 0.5, stretch: float = 1.5, shortest: int = 3,
 ) -> DataFrame:
@@ -258,33 +290,29 @@ def leaked(
     A document holds an item if at least ``part`` of the item's words stand in the
     item's order within a stretch of ``stretch`` times its length; signs of
     spaceless scripts count as words. Case, punctuation, markup and line breaks
-    do not matter, and the words need not stand in runs. Null and empty texts and rows without an id hold nothing, items of fewer than ``shortest`` words are not looked for;
-    either table may be empty. Texts are searched whole. ``documents`` needs
-    ``doc_id`` and ``text``, ``items`` ``item_id`` and ``text``; other columns are
-    ignored, repeated rows come out again.
-
-    The items are looked up in blocks of ITEM_BLOCK characters, each sent to the
-    tasks once; documents are never shuffled.
+    do not matter, and the words need not stand in runs: this is exact for items of
+    any length (one of two words is held by a document with either word).
+    ``shortest`` is the least verbatim match that is looked up; it only decides which
+    stretch is compared first. Null and empty texts, texts without a word and rows
+    without an id hold nothing and are held by none; either table may be empty.
+    Texts are searched whole. ``documents`` needs ``doc_id`` and ``text``, ``items``
+    ``item_id`` and ``text``; other columns are ignored, repeated documents come out
+    again, of repeated items each.
+
+    Items go out in blocks of ITEM_BLOCK characters, one broadcast each; documents
+    are read once, whatever the number of blocks, and never shuffled.
     """
-    items = items.where("text is not null and item_id is not null")
-    sizes = items.select("item_id", F.length("text").alias("n")).orderBy("item_id").collect()
-    blocks: list[list[int]] = [[]]
-    total = 0
-    for r in sizes:
-        if total and total + r["n"] > ITEM_BLOCK:
-            blocks.append([])
-            total = 0
-        blocks[-1].append(r["item_id"])
-        total += r["n"]
+    spark = documents.sparkSession
+    blocks = [spark.sparkContext.broadcast(block) for block in _item_blocks(items)]
+    if not blocks:
+        return spark.createDataFrame([], _FOUND)
     texts = documents.where("text is not null and text <> '' and doc_id is not null").select("doc_id", "text")
-    out = None
-    for ids in blocks:
-        block = Items([(r["item_id"], r["text"]) for r in items.where(F.col("item_id").isin(ids)).select("item_id", "text").collect()])
-        if not len(block.ids):
-            block = Items([(-1, "\x01 0")])  # no document holds it whole; keeps the plan and the schema
-        part_out = texts.mapInArrow(_search(block, shortest, part, stretch), "doc_id bigint, item_id bigint, n_words bigint, item_words bigint, at_word bigint")
-        out = part_out if out is None else out.unionByName(part_out)
-    return out
+    return texts.mapInArrow(_search(blocks, shortest, part, stretch), _FOUND)
+
+
+def whole_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """``(doc_id, item_id)`` of the leaks that hold all words of an item in its order within a stretch of its own length: verbatim copies."""
+    return leaked(documents, items, part=1.0, stretch=1.0).select("doc_id", "item_id")
 
 
 def without_leaks(documents: DataFrame, items: DataFrame, **how) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from arcweave.llm import cooccur, dupes, langid, leak, mixing, sentences, termfreq, variants
 from arcweave.queries import table
+from arcweave.session import materialize
 from arcweave.sources.files import parse_link_records
 
 if TYPE_CHECKING:
@@ -106,6 +107,16 @@ def p7_clean_documents(spark, sf_dir):
     return leak.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "source")
 
 
+_FOLD = r"trim(lower(regexp_replace(regexp_replace({}, '[\u00AD\u200B\u200C\u200D\u2060\uFEFF]', '', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')))"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, ' ' || {_FOLD.format("text")} || ' ' AS t FROM documents WHERE text <> ''), i AS (SELECT item_id, {_FOLD.format("text")} AS w FROM eval_items),
+s AS (SELECT item_id, w, regexp_matches(w, '[\x{{3040}}-\x{{30ff}}\x{{3400}}-\x{{9fff}}\x{{0e00}}-\x{{0e7f}}]') AS spaceless FROM i WHERE w <> '')
+SELECT doc_id, item_id FROM d, s WHERE CASE WHEN spaceless THEN contains(replace(t, ' ', ''), replace(w, ' ', '')) ELSE contains(t, ' ' || w || ' ') END""")
+def p7_whole_items(spark, sf_dir):
+    return leak.whole_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 @query()
 def p8_mix(spark, sf_dir):
     counted = mixing.counted_once(table(spark, sf_dir, "documents"))
@@ -118,6 +129,24 @@ def p8_mix_report(spark, sf_dir):
     return mixing.mix_report(counted, targets, mixing.mix(counted, targets))
 
 
+@query("SELECT 0::BIGINT AS over_limit, 0::BIGINT AS off_target, 0::BIGINT AS unplaced")
+def p8_mix_checks(spark, sf_dir):
+    counted, targets = mixing.counted_once(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets")
+    return mixing.mix_checks(counted, targets, materialize(mixing.mix(counted, targets)))
+
+
+@query()
+def p8_tempered_mix(spark, sf_dir):
+    counted = mixing.counted_once(table(spark, sf_dir, "documents"))
+    return mixing.mix(counted, table(spark, sf_dir, "mix_targets"), plan=mixing.plan_temperature)
+
+
+@query()
+def p8_tempered_report(spark, sf_dir):
+    counted, targets = mixing.counted_once(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets")
+    return mixing.mix_report(counted, targets, mixing.mix(counted, targets, plan=mixing.plan_temperature))
+
+
 @query()
 def p5_found(spark, sf_dir):
     return sentences.sentence_units(table(spark, sf_dir, "text_dir")).select("page_id", "start_char", "end_char")
@@ -138,6 +167,23 @@ def p9_stretches(spark, sf_dir):
     return langid.language_stretches(table(spark, sf_dir, "documents"))
 
 
+@query()
+def p9_documents(spark, sf_dir):
+    return langid.document_languages(table(spark, sf_dir, "documents"))
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_documents, count(*) FILTER (regexp_matches(text, '\\p{L}')) AS n_named, 0::BIGINT AS n_unsure FROM documents")
+def p9_document_checks(spark, sf_dir):
+    found = langid.document_languages(table(spark, sf_dir, "documents"))
+    unsure = F.count(F.when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), 1))
+    return found.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("doc_id").alias("n_documents"), F.count("lang").alias("n_named"), unsure.alias("n_unsure"))
+
+
+@query()
+def p9_labels(spark, sf_dir):
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
 @query()
 def p3_found(spark, sf_dir):
     return variants.variant_links(table(spark, sf_dir, "entity"), table(spark, sf_dir, "links_to"))
@@ -146,3 +192,8 @@ def p3_found(spark, sf_dir):
 @query()
 def p3_canonical_titles(spark, sf_dir):
     return variants.canonical_titles(table(spark, sf_dir, "entity"), table(spark, sf_dir, "links_to"))
+
+
+@query()
+def p3_members(spark, sf_dir):
+    return variants.members(table(spark, sf_dir, "entity"), table(spark, sf_dir, "links_to"))

@@ -303,6 +303,23 @@ def page_lines(text: str) -> list[tuple[int, int]]:
     return lines
 
 
+def outside_lines(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Begin and end of the stripped lines before the body (the title) and behind it (a closing section)."""
+    parts: list[list[tuple[int, int]]] = [[], []]
+    at, behind = 0, False
+    body = text.find("\n", len(text) - len(text.lstrip())) + 1 or len(text) + 1
+    while at <= len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        line = text[at:stop]
+        a, b = at + len(line) - len(line.lstrip()), at + len(line.rstrip())
+        behind = behind or (at >= body and text.startswith(CLOSING, a))
+        if b > a and (behind or at < body):
+            parts[behind].append((a, b))
+        at = stop + 1
+    return parts[0], parts[1]
+
+
 def paragraphs(text: str) -> list[tuple[int, int, bool]]:
     """(begin, end, whole) of the paragraphs of the body; ``whole``: a list line, one unit.
 

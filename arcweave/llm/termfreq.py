@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from arcweave.operators.dictionary import number_rows
-from arcweave.operators.skew import key_candidates, not_blank
+from arcweave.operators.skew import fair_share, key_candidates, not_blank
 
 if TYPE_CHECKING:
     from collections.abc import Iterator
@@ -48,8 +48,8 @@ def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield out()
             occurrences, records = held.setdefault(int(r), (np.zeros(RANGE, np.int64), np.zeros(RANGE, np.int64)))
             mine = parts == r
-            np.add.at(occurrences, ids[mine] - r * RANGE, n[mine])
-            np.add.at(records, ids[mine] - r * RANGE, present[mine])
+            occurrences += np.bincount(ids[mine] - r * RANGE, n[mine], RANGE).astype(np.int64)
+            records += np.bincount(ids[mine] - r * RANGE, present[mine], RANGE).astype(np.int64)
     if held:
         yield out()
 
@@ -76,7 +76,7 @@ def _sum_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def term_frequencies(df: DataFrame, term: str, record: str, share: float = 1 / 200) -> DataFrame:
+def term_frequencies(df: DataFrame, term: str, record: str, share: float | None = None) -> DataFrame:
     """``(term, n_occurrences, n_records)`` for every distinct non-blank ``term``.
 
     ``n_occurrences`` counts rows, repeated ones again; ``n_records`` counts
@@ -86,13 +86,14 @@ def term_frequencies(df: DataFrame, term: str, record: str, share: float = 1 / 2
 
     The dictionary numbers all terms. Rows of ordinary terms meet it in one
     shuffle by term, in which they are also reduced to one per record; rows of
-    the few terms that a sketch finds heavy meet a broadcast of at most
+    the few terms that a sketch finds heavy (``share`` of all rows, by default a
+    quarter of what a shuffle partition holds, ``fair_share``) meet a broadcast of at most
     ``2 / share`` dictionary rows and are reduced over (term, record). The encoded
     rows become count arrays block by block, and these are summed by range.
     """
     rows = df.where(not_blank(term)).select(F.col(term).alias("t"), F.when(not_blank(record), F.col(record)).alias("r"))
     dictionary = number_rows(rows.groupBy("t").agg(F.count(F.lit(1)).alias("_n")).select("t"))
-    values, _ = key_candidates(rows, F.col("t"), share)
+    values, _ = key_candidates(rows, F.col("t"), share or fair_share(df.sparkSession))
     names = F.broadcast(df.sparkSession.createDataFrame([(v,) for v in values], "t string"))
     light, heavy = rows.join(names, "t", "left_anti"), rows.join(names, "t", "left_semi")
     some = F.broadcast(dictionary.join(names, "t", "left_semi"))
@@ -107,7 +108,7 @@ def term_frequencies(df: DataFrame, term: str, record: str, share: float = 1 / 2
     return sums.join(dictionary, "id").select(F.col("t").alias(term), "n_occurrences", "n_records")
 
 
-def marked_terms(df: DataFrame, term: str, record: str, rare: int = 3, common: float = 1 / 50, share: float = 1 / 200) -> DataFrame:
+def marked_terms(df: DataFrame, term: str, record: str, rare: int = 3, common: float = 1 / 50, share: float | None = None) -> DataFrame:
     """``term_frequencies`` with ``mark``: ``rare`` under ``rare`` records, ``common``
     over a ``common`` share of all different non-blank records, else null."""
     total = df.where(not_blank(record)).agg(F.countDistinct(record)).first()[0]

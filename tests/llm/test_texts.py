@@ -106,11 +106,12 @@ def test_leaks(spark):
     zh = "最年轻的竖琴手没有一个证人拍卖了一箱没熟的梨"
     docs += [(100, None), (101, ""), (102, "前文。" + zh + "后文。"), (103, zh[:5]), (None, ITEM), (104, ITEM + " x" * 300_000), (105, ITEM)]
     rows = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id bigint, text string, item_id string, n_words int")
-    items = spark.createDataFrame([(1, ITEM, 0), (2, zh, 0), (3, None, 0), (4, "", 0), (5, "two words", 0), (None, ITEM, 0)], "item_id bigint, text string, doc_id int")
+    items = spark.createDataFrame([(1, ITEM, 0), (2, zh, 0), (3, None, 0), (4, "", 0), (5, "two words", 0), (6, "Lions!", 0), (7, "...", 0), (None, ITEM, 0)], "item_id bigint, text string, doc_id int")
     got = {(r.doc_id, r.item_id) for r in leak.leaked(rows, items).collect()}
     tokens = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
     want = {(d, 1) for d, t in docs if d is not None and t and d != 104 and held(words, tokens(t))} | {(104, 1), (102, 2)}
-    assert got == want and 10 < len(want) < 60
+    want |= {(d, i) for d, t in docs if d is not None for i, w in ((6, {"lions"}), (5, {"two", "words"})) if w & set(tokens(t or ""))}
+    assert got == want and 10 < len([d for d, i in want if i == 1]) < 60
     assert {r.doc_id for r in leak.without_leaks(rows, items).collect()} == {d for d, _ in docs} - {d for d, _ in want}
     assert leak.leaked(rows, items.limit(0)).count() == leak.leaked(rows.limit(0), items).count() == 0
 
@@ -121,8 +122,9 @@ def test_leaks_without_runs(spark, monkeypatch):
     rng = random.Random(6)
     spread = [x for k in range(0, len(words), 2) for x in (*words[k : k + 2], f"w{k}")]  # a word after every second one
     late = [x for w in words[:8] for x in (w, "x")] + words[12:17]  # the first half lies before the only run
-    docs = [(0, spread), (1, late), (2, words[::3])]
-    for k in range(3, 120):
+    third = [f"c{k}" if k % 3 == 2 else w for k, w in enumerate(words)]  # every third word changed
+    docs = [(0, spread), (1, late), (2, words[::3]), (3, third)]
+    for k in range(4, 120):
         text = [rng.choice(words) if rng.random() < 0.2 else f"w{k}" for _ in range(60)]
         n = rng.randrange(7, 14)
         for place, w in zip(sorted(rng.sample(range(36), n)), sorted(rng.sample(range(len(words)), n))):
@@ -131,7 +133,7 @@ def test_leaks_without_runs(spark, monkeypatch):
     rows = spark.createDataFrame([(k, " ".join(t)) for k, t in docs], "doc_id bigint, text string")
     items = spark.createDataFrame([(1, ITEM), (2, "no such words at all")], "item_id bigint, text string")
     want = {k for k, t in docs if held(words, t)}
-    assert {0, 1} < want and 2 not in want and 10 < len(want) < 110
+    assert {0, 1, 3} < want and 2 not in want and 10 < len(want) < 110
     assert {(r.doc_id, r.item_id) for r in leak.leaked(rows, items).collect()} == {(k, 1) for k in want}
 
 
@@ -139,7 +141,8 @@ def test_item_blocks(spark, monkeypatch):
     monkeypatch.setattr(leak, "ITEM_BLOCK", 50)
     items = spark.createDataFrame([(k, f"{ITEM} number {k} and so on") for k in range(4)], "item_id bigint, text string")
     docs = spark.createDataFrame([(9, f"{ITEM} number 2 and so on")], "doc_id bigint, text string")
-    assert {r.item_id for r in leak.leaked(docs, items).collect()} == {0, 1, 2, 3}
+    assert sorted(r.item_id for r in leak.leaked(docs, items.union(items.limit(1))).collect()) == [0, 0, 1, 2, 3]
+    assert [tuple(r) for r in leak.whole_leaks(docs, items).collect()] == [(9, 2)]
 
 
 def test_mix_plan():
@@ -154,6 +157,18 @@ def test_mix_plan():
     assert 0 < x < 1 and math.isclose(mixing.entropy(mixing.tempered(shares, x)), 0.6, rel_tol=1e-6)
 
 
+def test_temperature_plan():
+    tokens, goal = {"a": 9000, "b": 900, "c": 100}, {"a": 0.5, "b": 0.3, "c": 0.2}
+    natural = {s: n / 10_000 for s, n in tokens.items()}
+    free = mixing.plan_temperature(tokens, goal, {"a": 1, "b": 99, "c": 99})
+    x = mixing.exponent_for_entropy(natural, mixing.entropy(goal))
+    assert 0 < x < 1 and all(math.isclose(free[s], 10_000 * w) for s, w in mixing.tempered(natural, x).items())  # the entropy decides
+    tight = mixing.plan_temperature(tokens, goal, {"a": 1, "b": 3, "c": 4})
+    y = mixing.exponent_for_limits(natural, {"a": 9000, "b": 2700, "c": 400}, 10_000)
+    assert x < y < 1 and math.isclose(max(tight["b"] / 2700, tight["c"] / 400), 1, rel_tol=1e-6)  # a limit decides
+    assert mixing.plan_temperature({}, goal, {}) == {}
+
+
 def test_mix(spark):
     rng = random.Random(8)
     rows = [(k, rng.choice("aaaab"), rng.randrange(1, 50)) for k in range(3000)] + [(9000, None, 5), (9001, "z", 5), (9002, "a", 0)]
@@ -161,6 +176,12 @@ def test_mix(spark):
     targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 3), ("gone", 0.1, 2), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
     mixed = mixing.mix(counted, targets).cache()
     assert mixed.groupBy("doc_id", "copy").count().where("count > 1").count() == 0
+    assert mixing.mix_checks(counted, targets, mixed).first().asDict() == {"over_limit": 0, "off_target": 0, "unplaced": 0}
+    bad = mixed.unionByName(mixed.where("source = 'a'").withColumn("place", mixing.F.col("place") + 1))
+    assert min(mixing.mix_checks(counted, targets, bad).select("over_limit", "off_target").first()) > 0
+    cut = mixing.mix(counted, targets, block_tokens=500).orderBy("block", "place").collect()
+    starts = [r.block * 500 + r.place for r in cut]
+    assert starts[0] == 0 and all(y - x == r.n_tokens for x, y, r in zip(starts, starts[1:], cut)) and 5 < len({r.source for r in cut[:40]}) * 5
     report = {r.source: r for r in mixing.mix_report(counted, targets, mixed).collect()}
     assert set(report) == {"a", "b", "gone"} and report["gone"].mixed_tokens == 0
     assert abs(report["a"].share - 0.6) < 0.003 and report["a"].most_copies <= 1 and report["b"].most_copies <= 3
@@ -202,19 +223,49 @@ def test_languages(spark):
     mixed = "Title\nThe council sold the old mill. Farmers lost most of the harvest.\nКрестьяне потеряли весь урожай. Она написала историю маяка.\nReferences\nder Rat verkaufte die alte Mühle"
     wrong = [(500, rows[0][1], "fr"), (501, mixed, "English"), (502, None, "en"), (503, "", None), (504, "1998 | 3\n4 | 5", None), (None, rows[1][1], None)]
     df = spark.createDataFrame([(*r, "x") for r in rows + wrong], "doc_id bigint, text string, lang string, begin string")
-    model = langid.fit(df, 40, (150, 250))
+    model = langid.fit(df, 40, (19, 31))
     assert set(model.langs) == set(PHRASES)
     got = {(r.doc_id, r.lang) for r in langid.unstated_languages(df, model).collect()}
     assert (500, rows[0][2]) in got and (501, "ru") in got and not any(d in (502, 503, 504) for d, _ in got)
     assert len([d for d, _ in got if d is not None and d < 500]) <= 3
     runs = [r for r in langid.language_stretches(df, model).where("doc_id = 501").orderBy("begin").collect()]
-    assert [r.lang for r in runs] == ["en", "ru"] and all(0.5 < r.confidence <= 1 for r in runs)
+    assert [r.lang for r in runs][:2] == ["en", "ru"] and [r.whole for r in runs][:2] == [True, True] and all(0.5 < r.confidence <= 1 for r in runs)
     assert langid.unstated_languages(df.limit(0)).count() == 0
+    assert {r.lang: r.kept for r in langid.language_report(df, model).collect()} == {**dict.fromkeys(PHRASES, True), "fr": False}
+    outside = [r for r in langid.language_stretches(df, model).where("doc_id = 501").orderBy("begin").collect()]
+    assert mixed[outside[-1].begin : outside[-1].end].endswith("Mühle") and not outside[-1].whole or outside[-1].lang == "ru"
+
+
+def test_document_languages(spark):
+    rows = documents(n=160)
+    more = [(500, "Der Rat verkaufte die alte Mühle nach langer Zeit", None), (501, None, "en"), (502, " \n", "en"), (503, "1998 | 3", "en"), (504, "мак", None), (None, rows[0][1], None)]
+    df = spark.createDataFrame([(*r, 0.5) for r in rows + more], "doc_id bigint, text string, lang string, confidence double")
+    model = langid.fit(df, 40, (19, 31))
+    got = {r.doc_id: (r.lang, r.confidence) for r in langid.document_languages(df, model).collect()}
+    assert len(got) == len(rows) + len(more) and all(0 <= c <= 1 for _, c in got.values())
+    assert got[500][0] == "de" and got[504][0] == "ru" and [got[k] for k in (501, 502, 503)] == [(None, 0.0)] * 3
+    assert sum(got[k][0] == lang for k, _, lang in rows) >= 157
+    again = langid.Model.unpack(model.pack())
+    assert again.languages([t for _, t, _ in rows[:20]]) == model.languages([t for _, t, _ in rows[:20]])
+    kept = langid.fit(df, 40, (19, 31))  # read from the shared folder
+    assert kept.langs == model.langs and kept.languages([rows[0][1]]) == model.languages([rows[0][1]])
+
+
+def test_confidence_is_calibrated():
+    rows = documents(n=300)
+    model = langid.Model([(lang, t) for _, t, lang in rows], {x: 75 for x in PHRASES}, (10, 12))
+    rng = random.Random(3)
+    tried = [(lang, " ".join(t.split("\n")[1].split()[: rng.randrange(1, 3)])) for _, t, lang in documents(seed=5, n=300)]
+    win, n = langid.windows([t for _, t in tried])
+    two = langid.np.sort(scores := model.sums(win, n), 1)[:, -2:]
+    sure = model.sure(two[:, 1] - two[:, 0])
+    right = [model.langs[k] == lang for k, (lang, _) in zip(scores.argmax(1), tried)]
+    assert abs(float(sure.mean()) - sum(right) / len(right)) < 0.12 and (model.sure(langid.np.array([-3.0])) < 0.5).all()
 
 
 def test_held_out_accuracy():
     rows = documents()
-    model = langid.Model([(lang, t) for _, t, lang in rows], {x: 60 for x in PHRASES}, (150, 250))
+    model = langid.Model([(lang, t) for _, t, lang in rows], {x: 60 for x in PHRASES}, (19, 31))
     held_out = documents(seed=9, n=80)
     got = model.stretches([t for _, t, _ in held_out])
     right = sum({s[2] for s in runs} == {lang} for runs, (_, _, lang) in zip(got, held_out))
