@@ -205,11 +205,12 @@ class Model:
         self.net.fit(win[use], np.repeat(again, n)[use], steps[1] * times, 2)
         # documents whose label most of their sentences confirm
         agree = np.bincount(docs, keep, len(rows)) * 2 > np.bincount(docs, minlength=len(rows))
-        tried = held & agree[docs] & (again >= 0)
-        if tried.sum() >= 50:
-            part = self.sums(win[np.repeat(tried, n)], n[tried])
+        tried = np.flatnonzero(held & agree[docs] & (again >= 0))
+        if len(tried) >= 50:  # whole sentences and beginnings of them, so that there are doubtful ones too
+            some = [p for k in tried for p in (pieces[k], pieces[k][: rng.integers(6, 40)])]
+            part = self.sums(*windows(some))
             two = np.sort(part, 1)[:, -2:]
-            self._calibrate(two[:, 1] - two[:, 0], part.argmax(1) == again[tried])
+            self._calibrate(two[:, 1] - two[:, 0], part.argmax(1) == np.repeat(again[tried], 2))
 
     def pack(self) -> bytes:
         """Everything that applying the model needs, as bytes."""
