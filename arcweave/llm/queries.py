@@ -6,6 +6,7 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import functions as F
 
+from arcweave.functions.text import TERMINATORS
 from arcweave.llm import cooccur, dupes, langid, leak, mixing, sentences, termfreq, variants
 from arcweave.queries import table
 from arcweave.session import materialize
@@ -152,6 +153,20 @@ def p5_found(spark, sf_dir):
     return sentences.sentence_units(table(spark, sf_dir, "text_dir")).select("page_id", "start_char", "end_char")
 
 
+_SP = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_BODY = rf"""WITH a AS (SELECT page_id, string_split(regexp_replace(text, '\A{_SP}+', ''), chr(10))[2:] AS l FROM (SELECT DISTINCT page_id, text FROM text_dir WHERE text IS NOT NULL)),
+b AS (SELECT page_id, list_transform(l, lambda v: regexp_replace(v, '{_SP}+', '', 'g')) AS c, list_position(list_transform(l,
+lambda v: regexp_matches(v, '\A{_SP}*(?:{"|".join(TERMINATORS)})')), true) AS cut FROM a)
+SELECT page_id, CAST(sum(length(array_to_string(CASE WHEN coalesce(cut, 0) = 0 THEN c ELSE c[1:cut - 1] END, ''))) AS BIGINT) AS n_signs FROM b GROUP BY page_id"""
+
+
+@query(f"SELECT * FROM ({_BODY}) WHERE n_signs > 0")
+def p5_covered_signs(spark, sf_dir):
+    """Non-blank signs in the units of every page: all that the body has, each once."""
+    found = sentences.sentence_units(table(spark, sf_dir, "text_dir"))
+    return found.groupBy("page_id").agg(F.sum(F.length(F.regexp_replace("sentence", _SP, ""))).alias("n_signs"))
+
+
 @query()
 def p5_sentences(spark, sf_dir):
     return sentences.sentence_units(table(spark, sf_dir, "text_dir"))

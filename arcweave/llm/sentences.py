@@ -1,32 +1,41 @@
 """Sentence units of pages in any language, script and line layout.
 
-Scripts written without spaces: gaps after their marks are judged by the words of
-a dictionary lattice around them (final particles before, opening words behind).
-Scripts written with spaces: all terminators of a paragraph form a lattice whose
-gaps are sure, barred or weighed, and the best path through it gives the units.
+A first pass over all texts counts what the collection writes: strings of
+spaceless scripts (the dictionary), what stands before and behind their marks
+(final particles, opening words), words that open sentences, and tokens before a
+full stop (abbreviations). Scripts written without spaces are then cut into the
+words of the dictionary's cheapest lattice path, and their gaps judged by final
+particles and opening words. Scripts written with spaces: all terminators of a
+paragraph form a lattice whose gaps are sure, barred or weighed, and the best path
+through it gives the units.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from typing import TYPE_CHECKING
 
 import pyarrow as pa
+import regex
+from pyspark.sql import functions as F
 
 from arcweave.functions.text import TERMINATORS as CLOSING
+from arcweave.session import materialize
 
 if TYPE_CHECKING:
-    from collections.abc import Iterator
+    from collections.abc import Callable, Iterator
 
     from pyspark.sql import DataFrame
 
 # Abbreviations, in lower case and without the final mark.
 # Before a name or title; nothing ends here.
 TITLES = set("""dr mr mrs ms prof sr sra srta srs dra drs exma exmo sig sigg dott dott.ssa prof.ssa dhr mevr ir ing hr hrn fr frl capt
-col gen lt sgt rev hon sen rep pres msgr mme mlle mm проф акад г-н г-жа डॉ प्रो श्री د أ م آ jhr mej ds onorev avv don fra""".split())
+col gen lt sgt rev hon sen rep pres gov atty adm cmdr maj supt msgr mme mlle mm проф акад г-н г-жа डॉ प्रो श्री د أ م آ jhr mej ds onorev avv don fra""".split())
 # Before a number or a reference.
 NUMERIC = set("""no nr nos núm n p pp pag pág págs fig figs abb s vol vols ca c ch cap art bd § ff f vgl cf cfr b geb tab kap sec séc
-стр рис гл см jan feb mar apr jun jul aug sep sept oct okt nov dec dez bl afb d.h z.b""".split())
+стр рис гл см jan feb mar apr jun jul aug sep sept oct okt nov dec dez bl afb d.h z.b eq eqs thm lem cor prop def sect para tab""".split())
 # Inside a name or before a further word; a sentence may still end here before an opening word.
 OPEN = set("""st inst dept dep univ soc fdn found govt gov tech bcast mfg manuf eng engng comp natl nat int'l intl lab labs comp ул пл av bzw usw.
 dir ee uu e.g i.e approx est tel ext hl bros mt ft resp incl excl z d u a vs""".split())
@@ -36,16 +45,16 @@ FINAL = set("""ltd inc corp corpn co coll assn assoc serv svc stud res sci grp c
 # Words that go on a name after an abbreviation.
 NAME_WORDS = set("""limited ltd co company coll college office serv service council cncl group grp corp corpn corporation association assoc assn
 inc stud studies res research sci science aff affairs jr lab institute inst foundation society""".split())
-# Words that open a sentence, per language.
-OPENERS = set("""the a an in on at by after before near despite according for from with when while what who why how where no older two this that
-it he she they we as if but and there students farmers visitors version see
-der die das ein eine im am an in nach vor bei trotz was wer warum wie wo als wenn ältere studenten viele es er sie wir dies diese zum zur
-le la les un une des en au aux dans pour par selon après avant malgré que qui quoi quel quelle pourquoi il elle ils ce cette l'indice
+# Function words that open a sentence, per language; further opening words are counted.
+OPENERS = set("""the a an in on at by after before near despite according for from with when while what who why how where no two this that
+it he she they we as if but and there see
+der die das ein eine im am an in nach vor bei trotz was wer warum wie wo als wenn viele es er sie wir dies diese zum zur
+le la les un une des en au aux dans pour par selon après avant malgré que qui quoi quel quelle pourquoi il elle ils ce cette
 el los las una según tras a qué quién por con pese cuando esta este los
-il lo gli uno nel nella per secondo dopo che chi perché nonostante quando questo questa studio
+il lo gli uno nel nella per secondo dopo che chi perché nonostante quando questo questa
 o os as um uma segundo depois apesar pela pelo quem que em este esta quando
-de het een op in na bij voor volgens wie wat waarom hoe toen deze dit oudere
-в на по за после до при несмотря впервые кто что почему какая какой как когда совет мост экипаж показатель типография экспедиция крестьяне""".split())
+de het een op in na bij voor volgens wie wat waarom hoe toen deze dit
+в на по за после до при несмотря впервые кто что почему какая какой как когда""".split())
 MONTHS = set("""januar jänner februar märz april mai juni juli august september oktober november dezember january february march may june july
 october december""".split())
 NAMING = set("called named titled entitled dubbed known heißt genannt appelée appelé nommée llamada llamado chiamata chamada heet genaamd".split())
@@ -56,7 +65,13 @@ SPEECH = set("""问道 说道 问 说 道 喊道 答道 回答 回答道 表示
 CARRY = ("と", "って", "との", "という", "などと")
 FUNCTION = set("""在 会上 会议 上 了 的 是 他 她 对 向 着 并 の に は が を で も から まで 会議 記者 彼 彼女 人々 それ""".split()) | SPEECH | set(CARRY)
 
-NOT_SHORT = set("office group bay depot river valley".split())
+# Final particles and endings that close a clause in Chinese and Japanese; further ones are counted.
+FINALS = set("了 吗 呢 吧 啊 呀 嘛 です ます ました でした ません だった した だ た ない か よ ね ぞ わ".split())
+GRAM = 4            # signs of the longest dictionary word
+COUNTED = 5         # a string or word must have been seen so often
+SHARE = 1e-5        # ... and make up this share of its kind, so no kind has over 100,000 entries
+SEEN_TWICE = 500_000 # hashes of rows delivered twice that are broadcast
+KEPT = 400_000      # different strings a task holds before it gives their counts out
 
 _MARKS = re.compile(r"(?:[.!?؟…]|。|！|？|।|॥|｡)(?:[   ]?[.!?؟…。！？।])*")
 _CLOSERS = "\"'”’»“」』）)]›"
@@ -77,22 +92,128 @@ def _thai(ch: str) -> bool:
     return "฀" <= ch <= "๿"
 
 
+class Lexicon:
+    """What the collection says about its words.
+
+    ``counts`` has (kind, string, n): ``g`` strings of spaceless scripts, ``f`` and ``o``
+    those before and behind their sentence marks, ``q`` those before a quotation;
+    ``s`` and ``m`` capitalised words that open a line or follow a mark, and those
+    inside a sentence; ``w`` short words without a full stop, ``p`` those with one,
+    ``l`` of these such that a small letter, a digit or a comma follows.
+    """
+
+    def __init__(self, counts: list[tuple[str, str, int]] = ()):
+        by: dict[str, dict[str, int]] = {k: {} for k in "gfoqsmwpl"}
+        for kind, key, n in counts:
+            by[kind][key] = n
+        total = sum(by["g"].values()) or 1
+        self.cost = {k: math.log(total / n) for k, n in by["g"].items()}
+        self.cost |= {w: min(self.cost.get(w, 99.0), 5.0) for w in FUNCTION | FINALS}
+        self.unseen = math.log(total) + 6 if len(self.cost) > len(FUNCTION | FINALS) else 8.0
+        often = lambda kind, k: by[kind][k] / (by["g"].get(k, 0) + COUNTED)
+        self.finals = FINALS | {k for k in by["f"] if often("f", k) >= 0.6}
+        self.behind = {k for k in by["o"] if often("o", k) >= 0.3}
+        self.speech = SPEECH | {k for k in by["q"] if often("q", k) >= 0.6}
+        self.openers = OPENERS | {w for w, n in by["s"].items() if n >= 0.8 * (n + by["m"].get(w, 0))}
+        # a token that hardly ever lacks its stop and is not at the end of sentences only
+        self.short = {w for w, n in by["p"].items() if by["w"].get(w, 0) * 20 <= n and by["l"].get(w, 0) * 10 >= n}
+        # words: mostly without a stop, or with one that a sentence hardly ever goes on after
+        self.words = {w for w, n in by["w"].items() if n > by["p"].get(w, 0)} | {w for w, n in by["p"].items() if by["l"].get(w, 0) * 10 < n}
+
+    def split(self, clause: str) -> list[str]:
+        """Cheapest path through the lattice of dictionary words; signs in no word cost most."""
+        cost, back = [0.0] + [1e18] * len(clause), [0] * (len(clause) + 1)
+        for i in range(len(clause)):
+            for j in range(i + 1, min(len(clause), i + GRAM) + 1):
+                price = self.cost.get(clause[i:j], self.unseen if j == i + 1 else None)
+                if price is not None and cost[i] + price < cost[j]:
+                    cost[j], back[j] = cost[i] + price, i
+        out, j = [], len(clause)
+        while j:
+            out.append(clause[back[j] : j])
+            j = back[j]
+        return out[::-1]
+
+    def closes(self, clause: str) -> bool:
+        """Whether a clause of a spaceless script ends in a final particle, by the words of its lattice."""
+        words = self.split(clause[-12:])
+        return bool(words) and (words[-1] in self.finals or any(words[-1].endswith(f) for f in FINALS if len(f) > 1) or "".join(words[-2:]) in self.finals)
+
+    def opens(self, clause: str) -> bool:
+        """Whether a clause of a spaceless script begins with a word seen to open sentences."""
+        return any(clause.startswith(w) for w in self.behind)
+
+
 def lattice_words(clause: str) -> list[str]:
-    """Cheapest path through the lattice of dictionary words: unknown signs cost 2, words 1."""
-    cost, back = [0] + [1 << 30] * len(clause), [0] * (len(clause) + 1)
-    for i in range(len(clause)):
-        for j in range(i + 1, min(len(clause), i + 4) + 1):
-            price = 1 if clause[i:j] in FUNCTION else 2 if j == i + 1 else None
-            if price is not None and cost[i] + price < cost[j]:
-                cost[j], back[j] = cost[i] + price, i
-    out, j = [], len(clause)
-    while j:
-        out.append(clause[back[j] : j])
-        j = back[j]
-    return out[::-1]
+    """The words of a clause by the fixed values alone."""
+    return _PLAIN.split(clause)
+
+
+_RUN = re.compile("[\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]+")
+_BEFORE_MARK = re.compile("([\u3040-\u30ff\u3400-\u9fff]+)[。！？｡]")
+_BEHIND_MARK = re.compile("[。！？｡]([\u3040-\u30ff\u3400-\u9fff]+)")
+_BEFORE_QUOTE = re.compile("([\u3040-\u30ff\u3400-\u9fff]+)：[“「]")
+_STARTS = regex.compile(r"(?:^|[!?]\s+)[«“„‘¿¡]*(\p{Lu}[\p{L}'’]*)", regex.M)
+_INSIDE = regex.compile(r"(?<=[\p{L},] )(\p{Lu}[\p{L}'’]*)")
+_BARE = regex.compile(r"(?<![^\s(\[«“\"„])(\p{L}{1,6})(?=[\s,;:)])")
+_STOPPED = regex.compile(r"(?<![^\s(\[«“\"„])(\p{L}(?:\p{L}{0,5}|(?:\.\p{L}{1,3})+))\.(?:(,)|\s+(\S))")
+
+
+def _counts(text: str) -> dict[str, list[str]]:
+    """The strings of a text by kind, see ``Lexicon``."""
+    out: dict[str, list[str]] = {k: [] for k in "gfoqsmwpl"}
+    if _RUN.search(text):
+        for run in _RUN.findall(text):
+            for n in range(1, GRAM + 1):
+                out["g"] += [run[i : i + n] for i in range(len(run) - n + 1)]
+        out["f"] = [r[-n:] for r in _BEFORE_MARK.findall(text) for n in range(1, GRAM + 1) if len(r) >= n]
+        out["o"] = [r[:n] for r in _BEHIND_MARK.findall(text) for n in range(2, GRAM + 1) if len(r) >= n]
+        out["q"] = [r[-n:] for r in _BEFORE_QUOTE.findall(text) for n in range(1, GRAM + 1) if len(r) >= n]
+    out["s"] = [w.lower() for w in _STARTS.findall(text)]
+    out["m"] = [w.lower() for w in _INSIDE.findall(text)]
+    out["w"] = [w.lower() for w in _BARE.findall(text)]
+    for w, comma, nxt in _STOPPED.findall(text):
+        out["p"].append(w.lower())
+        if comma or nxt.islower() or nxt.isdigit():
+            out["l"].append(w.lower())
+    return out
 
 
-def _attribution(text: str, at: int, end: int) -> bool:
+def _count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = {k: Counter() for k in "gfoqsmwpl"}
+
+    def out() -> pa.RecordBatch:
+        rows = [(kind, key, n) for kind, c in held.items() for key, n in c.items()]
+        for c in held.values():
+            c.clear()
+        kinds, keys, n = zip(*rows) if rows else ([], [], [])
+        return pa.record_batch([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(n, pa.int64())], names=["kind", "key", "n"])
+
+    for batch in batches:
+        for text in batch.column(0):
+            for begin in range(0, len(t := text.as_py() or ""), 1 << 20):
+                for kind, found in _counts(t[begin : begin + (1 << 20)]).items():
+                    held[kind].update(found)
+            if sum(map(len, held.values())) > KEPT:
+                yield out()
+    yield out()
+
+
+def learn(pages: DataFrame) -> Lexicon:
+    """Count the words of all texts of ``pages`` (column ``text``; null texts have none).
+
+    Tasks send sums, not occurrences. A string comes to the driver if it was seen
+    COUNTED times and makes up SHARE of its kind: at most 1 / SHARE strings a kind,
+    whatever the size of the collection.
+    """
+    each = pages.where("text is not null").select("text").mapInArrow(_count_texts, "kind string, key string, n bigint")
+    summed = materialize(each.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    whole = summed.groupBy("kind").agg(F.sum("n").alias("all"))
+    kept = summed.where(F.col("n") >= COUNTED).join(F.broadcast(whole), "kind").where(F.col("n") >= F.lit(SHARE) * F.col("all"))
+    return Lexicon([(r["kind"], r["key"], r["n"]) for r in kept.select("kind", "key", "n").collect()])
+
+
+def _attribution(text: str, at: int, end: int, lexicon: Lexicon) -> bool:
     """Whether what follows a quotation only names its speaker: a clause that ends in a speech verb, or a few words."""
     m = _MARKS.search(text, at, end)
     clause = text[at : m.start() if m else end].strip(_SPACE)
@@ -101,12 +222,14 @@ def _attribution(text: str, at: int, end: int) -> bool:
     if _cjk(clause[-1]):
         if clause.startswith(CARRY):
             return True
-        return lattice_words(re.split("[，：“「]", clause)[0][-12:] or " ")[-1] in SPEECH
+        head = re.split("[，：“「]", clause)[0][-12:] or " "
+        words = lexicon.split(head)
+        return lattice_words(head)[-1] in SPEECH or words[-1] in lexicon.speech or "".join(words[-2:]) in lexicon.speech
     words = clause.split()
     return words[-1] in SPEECH and ":" not in clause or len(words) <= 3 and m is not None
 
 
-def _weigh(text: str, start: int, begin: int, mark: str, stop: int, end: int) -> int:
+def _weigh(text: str, start: int, begin: int, mark: str, stop: int, end: int, lexicon: Lexicon) -> int:
     """How much a gap behind a mark ends a sentence: over 1 surely, under -1 never.
 
     ``start`` is where the unit began, ``begin`` and ``stop`` where the mark with its
@@ -133,7 +256,7 @@ def _weigh(text: str, start: int, begin: int, mark: str, stop: int, end: int) ->
                 return -9
             opened = _opening(text, start, begin)
             head = opened <= start or text[opened - 1] not in "：，:,"
-            return -9 if head and _attribution(text, after, end) else 9
+            return -9 if head and _attribution(text, after, end, lexicon) else 9
         return 9
     if closed.strip()[-1:] in ")]）" if closed.strip() else False:
         opened = max(text.rfind("(", start, begin), text.rfind("（", start, begin), text.rfind("[", start, begin))
@@ -146,7 +269,7 @@ def _weigh(text: str, start: int, begin: int, mark: str, stop: int, end: int) ->
     if quoted and unmarked and first in "?؟!।.…":
         opened = _opening(text, start, begin)
         if first in "?؟!" or opened <= start:
-            return -9 if _attribution(text, after, end) else 9
+            return -9 if _attribution(text, after, end, lexicon) else 9
         return 9
     word_after = _WORD_AFTER.match(text, after)
     word = word_after.group(1) if word_after else ""
@@ -166,15 +289,15 @@ def _weigh(text: str, start: int, begin: int, mark: str, stop: int, end: int) ->
     token = before.group() if before and gap not in _SPACE else ""
     low = token.lower().rstrip(".")
     initial = len(word) == 1 and text[after + 1 : after + 2] == "."
-    opener = not initial and (word.lower() in OPENERS or ("'" in word and word.lower().split("'")[0] in ("l", "d", "un", "nell", "dell", "all", "dall")))
+    opener = not initial and (word.lower() in lexicon.openers or ("'" in word and word.lower().split("'")[0] in ("l", "d", "un", "nell", "dell", "all", "dall")))
     opener = opener or nxt in "¿¡«“„‘\"("
     if not spaced:
-        if nxt.isdigit() or not token or len(low) < 2 or "." in low or low in TITLES | OPEN | NUMERIC:
+        if nxt.isdigit() or not token or len(low) < 2 or "." in low or low in TITLES or low in OPEN or low in NUMERIC:
             return -9
         return 9 if nxt.isupper() or nxt in "«“„‘¿¡" or (nxt.isalpha() and caseless) else -9
     if not token:
         return 9
-    if low in TITLES or (token[:1].isupper() and len(low) <= 6 and word.lower().rstrip(".") in NAME_WORDS and low not in NOT_SHORT):
+    if low in TITLES or (token[:1].isupper() and len(low) <= 6 and word.lower().rstrip(".") in NAME_WORDS and low not in lexicon.words):
         return -9
     if nxt.isdigit() or nxt in "§№":
         if low in NUMERIC or low in OPEN or (len(low) == 1 and low.isalpha()):
@@ -194,6 +317,10 @@ def _weigh(text: str, start: int, begin: int, mark: str, stop: int, end: int) ->
         return 1 if opener else -2
     if "." in low:  # letters with stops
         return 2 if opener else -2
+    if low in lexicon.short:  # the collection writes it with a stop, and goes on
+        return 1 if opener else -9
+    if 2 <= len(low) <= 4 and token[:1].isupper() and not token.isupper() and low not in lexicon.words and begin - len(token) > start and not opener and nxt.isupper():
+        return -2  # a short capitalised token inside a sentence that no text has without a stop
     return 9
 
 
@@ -223,7 +350,7 @@ def _closers(text: str, start: int, at: int, end: int) -> int:
     return stop
 
 
-def _paragraph(text: str, start: int, end: int) -> list[tuple[int, int]]:
+def _paragraph(text: str, start: int, end: int, lexicon: Lexicon) -> list[tuple[int, int]]:
     """Units of a paragraph: the best path through its terminators."""
     units, at, weighed = [], start, []
     pos = start
@@ -235,7 +362,7 @@ def _paragraph(text: str, start: int, end: int) -> list[tuple[int, int]]:
         mark = m.group()
         if len(mark) > 1:
             mark = "".join(mark.split())
-        score = _weigh(text, at, m.start(), mark, stop, end) if m.start() > at or mark[0] in "…." else -9
+        score = _weigh(text, at, m.start(), mark, stop, end, lexicon) if m.start() > at or mark[0] in "…." else -9
         if m.start() == at and score > 1:
             score = -9  # a mark that begins a unit ends nothing
         if score > 2:
@@ -250,7 +377,7 @@ def _paragraph(text: str, start: int, end: int) -> list[tuple[int, int]]:
         units += _weighed(text, at, end, weighed)
     if _THAI.search(text, start, end):
         units = [u for a, b in units for u in _thai_units(text, a, b)]
-    return units
+    return [u for a, b in units for u in _unmarked(text, a, b, lexicon)]
 
 
 def _weighed(text: str, start: int, end: int, gaps: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -285,6 +412,23 @@ def _thai_units(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return [*out, (at, end)]
 
 
+_SPACED = re.compile("(?<=[\u3040-\u30ff\u3400-\u9fff])[ \u3000]+(?=[\u3040-\u30ff\u3400-\u9fff])")
+
+
+def _unmarked(text: str, start: int, end: int, lexicon: Lexicon) -> list[tuple[int, int]]:
+    """Gaps without a mark in Chinese and Japanese: a space behind a final particle, or behind any word before one that opens sentences."""
+    out, at = [], start
+    for m in _SPACED.finditer(text, start, end):
+        clause = text[at : m.start()]
+        if len(clause) >= 2 and (lexicon.closes(clause) or lexicon.opens(text[m.end() : end])):
+            out.append((at, m.start()))
+            at = m.end()
+    return [*out, (at, end)]
+
+
+_PLAIN = Lexicon()
+
+
 def page_lines(text: str) -> list[tuple[int, int]]:
     """Begin and end of the stripped lines of the body, empty ones included (begin = end)."""
     at = len(text) - len(text.lstrip())
@@ -354,13 +498,13 @@ def paragraphs(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
-def units(text: str | None) -> list[tuple[int, int]]:
-    """Begin and end (code points, end exclusive) of the sentence units of a page."""
+def units(text: str | None, lexicon: Lexicon = _PLAIN) -> list[tuple[int, int]]:
+    """Begin and end (code points, end exclusive) of the sentence units of a page; without a lexicon by the fixed values alone."""
     if not text or not text.strip():
         return []
     out = []
     for a, b, whole in paragraphs(text):
-        for x, y in [(a, b)] if whole else _paragraph(text, a, b):
+        for x, y in [(a, b)] if whole else _paragraph(text, a, b, lexicon):
             piece = text[x:y]
             x += len(piece) - len(piece.lstrip())
             y -= len(piece) - len(piece.rstrip())
@@ -369,25 +513,45 @@ def units(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, len(batch), 1000):
-            ids, texts = batch.column(0).slice(k, 1000).to_pylist(), batch.column(1).slice(k, 1000).to_pylist()
-            rows = [(i, x, y, t[x:y]) for i, t in zip(ids, texts) for x, y in units(t)]
-            cols = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.record_batch(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string()))],
-                names=["page_id", "start_char", "end_char", "sentence"],
-            )
+def _units_of(shared) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = shared.value
+        for batch in batches:
+            for k in range(0, len(batch), 1000):
+                ids, texts = batch.column(0).slice(k, 1000).to_pylist(), batch.column(1).slice(k, 1000).to_pylist()
+                rows = [(i, x, y, t[x:y]) for i, t in zip(ids, texts) for x, y in units(t, lexicon)]
+                cols = list(zip(*rows)) if rows else [[]] * 4
+                yield pa.record_batch(
+                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string()))],
+                    names=["page_id", "start_char", "end_char", "sentence"],
+                )
 
+    return run
 
-def sentence_units(pages: DataFrame) -> DataFrame:
+
+def sentence_units(pages: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """``(page_id, start_char, end_char, sentence)``: one row per sentence unit and page.
 
     ``pages`` has ``page_id`` and ``text``; other columns are ignored. Rows
-    delivered twice (same id and text) count once. Line 1 is the title and no unit;
-    from the first closing line on there are none. Null, blank and body-less texts
-    give no rows. Texts of any length are read whole; the work per page is local.
+    delivered twice (same id and text) count once; only texts whose hash was seen
+    twice are shuffled for that. Line 1 is the title and no
+    unit; from the first closing line on there are none. Null, blank and body-less
+    texts give no rows. Texts of any length are read whole; the work per page is
+    local. ``lexicon`` is learned from the pages unless it is given.
+    """
+    rows = pages.where("text is not null").select("page_id", "text")
+    shared = pages.sparkSession.sparkContext.broadcast(lexicon or learn(rows))
+    return once(rows).mapInArrow(_units_of(shared), "page_id bigint, start_char int, end_char int, sentence string")
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """The distinct rows of a table with texts, which are shuffled only where their hash was seen twice.
+
+    What has a hash of its own is distinct. The hashes seen twice are broadcast up to
+    SEEN_TWICE of them, beyond that they meet the rows in a shuffle.
     """
-    rows = pages.where("text is not null").select("page_id", "text").distinct()
-    return rows.mapInArrow(_run, "page_id bigint, start_char int, end_char int, sentence string")
+    keyed = rows.withColumn("_k", F.xxhash64(*rows.columns))
+    again = materialize(keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_k"))
+    twice = F.broadcast(again) if again.count() <= SEEN_TWICE else again
+    single = keyed.join(twice, "_k", "left_anti").drop("_k")
+    return single.unionByName(keyed.join(twice, "_k", "left_semi").drop("_k").distinct())

@@ -65,6 +65,37 @@ def test_random_bodies_are_covered():
         assert "".join(inside.split()) == "".join("".join(text[a:b] for a, b in sentences.page_lines(text)).split())
 
 
+@pytest.mark.parametrize(("body", "want"), [
+    ("I met Gov. Smith and Atty. Gen. Jones. He left.", ["I met Gov. Smith and Atty. Gen. Jones.", "He left."]),
+    ("See Eq. Two and Thm. Four. The rest is proved.", ["See Eq. Two and Thm. Four.", "The rest is proved."]),
+    ("彼は東京へ行きました 昨日は雨でした 今日は晴れです", ["彼は東京へ行きました", "昨日は雨でした", "今日は晴れです"]),
+    ("他来了 我们走了 天黑了", ["他来了", "我们走了", "天黑了"]),
+    ("她在Port 3 北边 看书。他走了。", ["她在Port 3 北边 看书。", "他走了。"]),
+])
+def test_texts_of_other_kinds(body, want):
+    assert cut("Title\n" + body) == want
+
+
+def test_lexicon_is_learned(spark):
+    texts = [f"T\nThe Zlm. Bron {k} was built, zk. early. Zumal came.\nDann ging Zumal fort. Zumal ging.\n" + "桥梁稳固嘞。天色暗下来嘞。小船" * 3 + "开走嘞。" for k in range(30)]
+    texts += ["T\nThe Zlm. 9 of Bron, the zk. late one."] * 30
+    lexicon = sentences.learn(spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string"))
+    assert {"zlm", "zk"} <= lexicon.short and "嘞" in lexicon.finals and "the" in lexicon.openers and "dann" in lexicon.openers and "zumal" not in lexicon.openers
+    assert "桥梁稳固" in lexicon.split("桥梁稳固嘞") and "".join(lexicon.split("天色暗下来x嘞")) == "天色暗下来x嘞"
+    read = lambda body: [t[a:b] for t in ["T\n" + body] for a, b in sentences.units(t, lexicon)]
+    assert read("We saw Zlm. Dorn there. It fell.") == ["We saw Zlm. Dorn there.", "It fell."]
+    assert read("门开嘞 雨停嘞 人走") == ["门开嘞", "雨停嘞", "人走"] and cut("T\n门开嘞 雨停嘞 人走") == ["门开嘞 雨停嘞 人走"]
+    assert sentences.learn(spark.createDataFrame([], "text string")).split("桥") == ["桥"]
+
+
+def test_once(spark, monkeypatch):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (None, "a"), (None, "a"), (2, None), (2, None), (3, "c")]
+    df = spark.createDataFrame(rows, "page_id bigint, text string").repartition(3)
+    for limit in (100, 0):
+        monkeypatch.setattr(sentences, "SEEN_TWICE", limit)
+        assert sorted(map(tuple, sentences.once(df).collect()), key=str) == sorted(set(rows), key=str)
+
+
 def test_sentence_rows(spark):
     rows = [(1, "T\nOne. Two.", "x"), (1, "T\nOne. Two.", "y"), (2, None, "x"), (None, "T\nOne.", "x")]
     df = spark.createDataFrame(rows, "page_id bigint, text string, sentence string")
