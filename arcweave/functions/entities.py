@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from typing import TYPE_CHECKING
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from arcweave.functions.text import SPACE, strip
 
 if TYPE_CHECKING:
+    from collections.abc import Iterator
+
     from pyspark.sql import Column, DataFrame
 
 # Fixed values.
@@ -17,6 +23,7 @@ DISCARDED = ("issn", "isbn", "doi")
 GENERIC_LABELS = ("web site", "website", "screen", "monitor", "display", "background", "texture", "pattern", "color", "shape")
 MIN_LENGTH, MAX_LENGTH, MIN_LABEL = 4, 100, 3
 TOP_LABELS, MIN_CONFIDENCE = 10, 0.1
+CATEGORY_BLOCK = 256
 
 
 def clean_mention(text: Column, label: Column) -> Column:
@@ -73,7 +80,44 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def category_similarity(vectors: DataFrame, categories: DataFrame) -> DataFrame:
-    """``(vec_id, category, similarity)`` of each vector to each of the few ``(category, vector)`` rows, which are broadcast."""
-    some = F.broadcast(categories.groupBy().agg(F.collect_list(F.struct("category", "vector")).alias("c")).withColumn("_k", F.lit(0)))
-    rows = vectors.withColumn("_k", F.lit(0)).join(some, "_k").select("vec_id", "embedding", F.explode("c").alias("c"))
-    return rows.select("vec_id", F.col("c.category").alias("category"), cosine(F.col("embedding"), F.col("c.vector")).alias("similarity"))
+    """``(vec_id, category, similarity)`` of each vector to each stated ``(category, vector)`` row.
+
+    The categories are the query set: they go out as matrices of CATEGORY_BLOCK rows, and the
+    vectors meet all blocks in one pass without a shuffle or join. Null where a vector is null, of another
+    length than the category's, has a null element or is zero.
+    """
+    spark, kind = vectors.sparkSession, categories.schema["category"].dataType
+    blocks, held = [], []
+    for r in categories.select("category", "vector").toLocalIterator():
+        held.append((r["category"], r["vector"]))
+        if len(held) == CATEGORY_BLOCK:
+            blocks.append(spark.sparkContext.broadcast(held))
+            held = []
+    if held:
+        blocks.append(spark.sparkContext.broadcast(held))
+    out = T.StructType([T.StructField("vec_id", vectors.schema["vec_id"].dataType), T.StructField("category", kind), T.StructField("similarity", T.DoubleType())])
+    arrow = to_arrow_schema(out)
+
+    def unit(rows: list, size: int) -> np.ndarray:
+        """Rows of length 1; nan where a row is no vector of ``size`` numbers."""
+        fits = [len(v) == size and None not in v if v is not None else False for v in rows]
+        m = np.array([v if ok else [np.nan] * size for v, ok in zip(rows, fits)], np.float64).reshape(len(rows), size)
+        length = np.sqrt((m * m).sum(1, keepdims=True))
+        return np.divide(m, length, out=np.full_like(m, np.nan), where=length > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, len(batch), 4096):
+                ids, rows = batch.column(0).slice(begin, 4096), batch.column(1).slice(begin, 4096).to_pylist()
+                for block in blocks:
+                    names, wanted = zip(*block.value)
+                    similar = np.full((len(rows), len(names)), np.nan)
+                    for size in {len(v) for v in wanted if v}:
+                        got = unit(rows, size) @ unit(list(wanted), size).T
+                        similar = np.where(np.isnan(similar), got, similar)
+                    flat = similar.reshape(-1)
+                    yield pa.record_batch([
+                        ids.take(pa.array(np.repeat(np.arange(len(rows)), len(names)))), pa.array(names * len(rows), arrow.field(1).type), pa.array(flat, mask=np.isnan(flat)),
+                    ], schema=arrow)
+
+    return vectors.select("vec_id", "embedding").mapInArrow(run, out)

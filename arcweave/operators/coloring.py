@@ -5,15 +5,18 @@ from __future__ import annotations
 from typing import TYPE_CHECKING
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arcweave.session import materialize
 
 if TYPE_CHECKING:
+    from collections.abc import Iterator
+
     from pyspark.sql import DataFrame
 
-MOST_EDGES = 1_000_000   # of a component that one task colors
+MOST_EDGES = 50_000_000   # of a component whose edges stream through one task
 _COLORED = "edge_id bigint, src string, dst string, color int, component string"
 
 
@@ -36,18 +39,23 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """Colors of one component: the lowest bit that neither end's mask of used colors has."""
-    rows = rows.sort_values("edge_id")
-    used: dict[str, int] = {}
-    colors = []
-    for u, v in zip(rows["src"], rows["dst"]):
-        taken = used.get(u, 0) | used.get(v, 0)
-        bit = ~taken & (taken + 1)
-        used[u] = used.get(u, 0) | bit
-        used[v] = used.get(v, 0) | bit
-        colors.append(bit.bit_length() - 1)
-    return rows.assign(color=pd.Series(colors, index=rows.index, dtype="int32"))[["edge_id", "src", "dst", "color", "component"]]
+def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Colors of edges sorted by component and id: the lowest bit that neither end's mask of used colors has.
+
+    The edges stream; only the masks of one component's ends are held.
+    """
+    now, used = None, {}
+    for batch in batches:
+        colors = []
+        for u, v, part in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+            if part != now:
+                now, used = part, {}
+            taken = used.get(u, 0) | used.get(v, 0)
+            bit = ~taken & (taken + 1)
+            used[u] = used.get(u, 0) | bit
+            used[v] = used.get(v, 0) | bit
+            colors.append(bit.bit_length() - 1)
+        yield pa.record_batch([*batch.columns[:3], pa.array(colors, pa.int32()), batch.column(3)], names=["edge_id", "src", "dst", "color", "component"])
 
 
 def _rounds(edges: DataFrame) -> DataFrame:
@@ -79,14 +87,18 @@ def color_edges(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
     """``(edge_id, src, dst, color, component)``: each edge's smallest color that no earlier edge at its ends has.
 
     ``edge_id`` gives the order and must be unique. Edges with a null end are left
-    out; self links take part once. Components of up to ``most`` edges are colored in
-    one task each, larger ones in rounds over all executors.
+    out; self links take part once. First-fit coloring is sequential within a
+    component: the sorted edges of one of up to ``most`` edges stream through one task,
+    which holds only the colors used at its ends (a hub of n links takes n bits).
+    Larger components are colored in rounds over all executors, one color a hub and
+    round.
     """
     whole = materialize(edges.where("src is not null and dst is not null").select("edge_id", "src", "dst"))
     labeled = materialize(whole.join(components(whole).withColumnRenamed("title", "src"), "src").select("edge_id", "src", "dst", "component"))
     large = [r["component"] for r in labeled.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("component").collect()]
     small = labeled.where(~F.col("component").isin(large)) if large else labeled
-    out = small.groupBy("component").applyInPandas(lambda rows: fold(rows), _COLORED)
+    sorted_ = small.repartition("component").sortWithinPartitions("component", "edge_id")
+    out = sorted_.select("edge_id", "src", "dst", "component").mapInArrow(fold, _COLORED)
     return out.unionByName(_rounds(labeled.where(F.col("component").isin(large)))) if large else out
 
 
@@ -111,3 +123,10 @@ def color_violations(colored: DataFrame) -> DataFrame:
     """
     counts = colored.groupBy("component").applyInPandas(_violations, "endpoint_repeats bigint, order_violations bigint")
     return counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("endpoint_repeats", "order_violations")))
+
+
+def color_count(colored: DataFrame) -> DataFrame:
+    """``(n_colors, n_edges, largest)``: one row; ``largest`` is the size of the most used color."""
+    sizes = colored.groupBy("color").agg(F.count(F.lit(1)).alias("n"))
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
+    return sizes.agg(F.count(F.lit(1)).alias("n_colors"), zero(F.sum("n"), "n_edges"), zero(F.max("n"), "largest"))

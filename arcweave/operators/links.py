@@ -11,12 +11,13 @@ if TYPE_CHECKING:
     from pyspark.sql import DataFrame
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """``(src, dst)``: one link from a page's title to each of its entities, repeated elements of a row once.
+def page_links(pages: DataFrame, *keep: str) -> DataFrame:
+    """``(src, dst, *keep)``: one link from a page's title to each of its entities, repeated elements of a row once.
 
-    Null titles, null lists and null elements give no link.
+    Null titles, null lists and null elements give no link; columns named in ``keep`` stay.
     """
-    return pages.where("title is not null").select(F.col("title").alias("src"), F.explode(F.array_distinct("entities")).alias("dst")).where("dst is not null")
+    found = pages.where("title is not null").select(F.col("title").alias("src"), F.explode(F.array_distinct("entities")).alias("dst"), *keep)
+    return found.where("dst is not null")
 
 
 def union_links(*parts: DataFrame) -> DataFrame:

@@ -25,16 +25,12 @@ def shuffled(seed: int = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col("edge_id").cast("string")))
 
 
-_HEX = "0123456789abcdef"
-
-
 def partition_id(name: Column, n: int = PARTITIONS, digits: int = HASH_DIGITS) -> Column:
     """Last ``digits`` digits of a name (all if 0) modulo n; without ASCII digits the first
-    four places of its md5 modulo n; null for null."""
+    eight places of its md5 modulo n; null for null."""
     numbers = F.regexp_replace(name, "[^0-9]", "")
     kept = F.right(numbers, F.lit(digits)) if digits else numbers
-    place = lambda k: (F.instr(F.lit(_HEX), F.substring(F.md5(name), k, 1)) - 1) * 16 ** (4 - k)
-    bucket = F.pmod(sum((place(k) for k in (2, 3, 4)), place(1)), F.lit(n))
+    bucket = F.pmod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint"), F.lit(n))
     number = F.when(name.rlike("[0-9]"), F.pmod(kept.try_cast("bigint"), F.lit(n)))
     return F.coalesce(number, bucket).cast("int")
 

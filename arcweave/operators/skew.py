@@ -13,7 +13,7 @@ if TYPE_CHECKING:
 
     from pyspark.sql import Column, DataFrame, SparkSession
 
-FINEST = 8192   # a share below 1 in so many would make the sketches of all tasks too large to merge
+FINEST = 2000   # a share below 1 in so many would make the sketches of all tasks too large to merge
 
 
 def fair_share(spark: SparkSession, coarsest: int = 200) -> float:

@@ -31,10 +31,16 @@ _PREFIXES = {"sequential": "sequential", "naive_parallel": "naive_parallel", "mi
 
 @dataclass(frozen=True)
 class Config:
+    """``model``: recogniser and sentence splitter, by rules where it is not installed; ``image_model``: an ONNX file, ``image_labels``
+    its classes; ``hub``: the source of scenario s1, the largest one if empty."""
+
     text_dir: str = "data/input/text/"
     images_dir: str = "data/input/images/"
     output: str = "data/output"
     model: str = "en_core_web_lg"
+    image_model: str = ""
+    image_labels: tuple[str, ...] = ()
+    hub: str = ""
     evaluate: bool = True
     scenarios: tuple[str, ...] = ("s1", "s2", "s3")
     runs: int = 3
@@ -45,9 +51,9 @@ class Config:
 
 def from_mapping(raw: dict) -> Config:
     """Settings from a nested mapping; what is missing keeps its default. A strategy's key may go on after its kind."""
-    data, evaluation = raw.get("data", {}), raw.get("evaluation", {})
+    data, evaluation, images = raw.get("data", {}), raw.get("evaluation", {}), raw.get("images", {})
     chosen = []
-    for kind in sorted(_PREFIXES, key=len, reverse=True):
+    for kind in _PREFIXES:  # strategies run in this order, of one kind in that of the file
         for key, s in raw.get("algorithms", {}).items():
             if key.startswith(kind) and not any(key.startswith(k) for k in _PREFIXES if len(k) > len(kind)):
                 more = {a: s[b] for a, b in (("n", "num_partitions"), ("digits", "hash_digits")) if b in s}
@@ -55,7 +61,7 @@ def from_mapping(raw: dict) -> Config:
     base = Config()
     return Config(
         data.get("input", {}).get("text_dir", base.text_dir), data.get("input", {}).get("images_dir", base.images_dir), data.get("output", base.output),
-        raw.get("spacy", {}).get("model", base.model), evaluation.get("enabled", base.evaluate), tuple(evaluation.get("scenarios", base.scenarios)),
+        raw.get("spacy", {}).get("model", base.model), images.get("model", base.image_model), tuple(images.get("labels", base.image_labels)), raw.get("hub", base.hub), evaluation.get("enabled", base.evaluate), tuple(evaluation.get("scenarios", base.scenarios)),
         evaluation.get("runs_per_algorithm", base.runs), evaluation.get("output_dir", base.results), raw.get("store", base.store), tuple(chosen) or STRATEGIES,
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import TYPE_CHECKING
 
 from pyspark.sql import functions as F
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 from arcweave import schema
 from arcweave.functions import entities, text
 from arcweave.operators import coloring, dictionary, graph, links, scenarios, schedule, skew
+from arcweave.operators.dedup import once
 from arcweave.plans import config, evaluate, pipeline
-from arcweave.session import materialize
+from arcweave.session import materialize, shared_dir
 from arcweave.sources import files
+from arcweave.streaming import upsert
 
 if TYPE_CHECKING:
     from collections.abc import Callable
@@ -128,7 +131,7 @@ def reset_nodes(spark, sf_dir):
 
 
 @query(f"""WITH t AS (SELECT DISTINCT unnest([src, dst]) AS title FROM ({_ENDS})), l AS (SELECT src, dst, count(*) AS w FROM ({_ENDS}) GROUP BY src, dst)
-SELECT (SELECT count(*) FROM t) AS n_nodes, count(*) AS n_links, CAST(sum(w) AS BIGINT) AS total_weight, 2 * count(*) AS degree_sum FROM l""")
+SELECT (SELECT count(*) FROM t) AS n_nodes, count(*) AS n_links, CAST(sum(w) AS BIGINT) AS total_weight, 2 * count(*) - count(*) FILTER (src = dst) AS degree_sum FROM l""")
 def graph_stats(spark, sf_dir):
     edges = _links(spark, sf_dir)
     nodes = graph.merge_nodes(spark.createDataFrame([], schema.NODES), edges, 7)
@@ -137,9 +140,7 @@ def graph_stats(spark, sf_dir):
 
 @query("""SELECT DISTINCT title AS src, u AS dst, page_id FROM (SELECT page_id, title, captured_at, unnest(entities) AS u FROM page_data WHERE title IS NOT NULL) WHERE u IS NOT NULL""")
 def page_links(spark, sf_dir):
-    pages = table(spark, sf_dir, "page_data")
-    found = pages.groupBy("page_id", "title").agg(F.flatten(F.collect_list("entities")).alias("entities"))
-    return found.where("title is not null").select(F.col("title").alias("src"), F.explode(F.array_distinct("entities")).alias("dst"), "page_id").where("dst is not null")
+    return links.page_links(table(spark, sf_dir, "page_data"), "page_id").distinct()
 
 
 @query("""WITH u AS (SELECT CASE WHEN origin = 'text' THEN 0 ELSE 1 END AS r, edge_id, src, dst FROM links_to WHERE origin IN ('text', 'image')),
@@ -232,7 +233,7 @@ def text_clean(spark, sf_dir):
 
 
 def _clean(spark, sf_dir):
-    return pipeline.clean_pages(table(spark, sf_dir, "text_dir").select("page_id", "text").distinct())
+    return pipeline.clean_pages(once(table(spark, sf_dir, "text_dir").select("page_id", "text")))
 
 
 @query(rf"""WITH {_CLEAN}, s AS (SELECT page_id, unnest(list_filter(list_transform(string_split(regexp_replace(text, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)),
@@ -267,7 +268,7 @@ def file_title(spark, sf_dir):
 
 def _id_sql(c: str) -> str:
     digits = f"regexp_replace({c}, '[^0-9]', '', 'g')"
-    return f"CAST(CASE WHEN {digits} <> '' THEN right({digits}, 1)::BIGINT % 10 ELSE ('0x' || substr(md5({c}), 1, 4))::BIGINT % 10 END AS INTEGER)"
+    return f"CAST(CASE WHEN {digits} <> '' THEN right({digits}, 1)::BIGINT % 10 ELSE ('0x' || substr(md5({c}), 1, 8))::BIGINT % 10 END AS INTEGER)"
 
 
 _CODES = f"k AS (SELECT edge_id, src, dst, {_id_sql('src')} AS i, {_id_sql('dst')} AS j FROM ({_ENDS}))"
@@ -345,7 +346,84 @@ def category_similarity(spark, sf_dir):
     return entities.category_similarity(rows, some).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"SELECT date_trunc('hour', loaded_at) AS hour, origin, count(*) AS n FROM links_to WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY 1, 2")
+@query("SELECT date_trunc('hour', loaded_at) AS hour, src, dst, count(*) AS n FROM links_to WHERE src IS NOT NULL AND dst IS NOT NULL AND loaded_at IS NOT NULL GROUP BY 1, 2, 3")
 def links_per_hour(spark, sf_dir):
-    rows = table(spark, sf_dir, "links_to").where("src is not null and dst is not null")
-    return rows.groupBy(F.date_trunc("hour", "loaded_at").alias("hour"), "origin").agg(F.count(F.lit(1)).alias("n"))
+    timed = graph.complete(table(spark, sf_dir, "links_to").where("loaded_at is not null"))
+    return upsert.windowed_links(timed, "loaded_at").select(F.col("window.start").alias("hour"), "src", "dst", "n")
+
+
+@query(f"SELECT edge_id, (row_number() OVER (ORDER BY edge_id) - 1) // 1000 AS lane FROM ({_ENDS})")
+def schedule_batched_parallel(spark, sf_dir):
+    return schedule.batched_parallel(graph.complete(_links(spark, sf_dir))).select("edge_id", "lane")
+
+
+@query(f"SELECT CAST((r - 1) // 500 AS BIGINT) AS wave, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY edge_id) AS r FROM ({_ENDS})) GROUP BY 1")
+def schedule_batch_sizes(spark, sf_dir):
+    """The batched sequential strategy with batches of 500."""
+    planned = schedule.STRATEGIES["batched_sequential"](graph.complete(_links(spark, sf_dir)), 500)
+    return schedule.batch_sizes(planned).select("wave", "n")
+
+
+@query(f"""WITH {_clique_sql(40, 60)} SELECT count(*) AS n_edges, count(*) AS n_placed, true AS enough FROM c""")
+def color_sizes(spark, sf_dir):
+    """Every edge has a color, and no fewer colors come out than the busiest entity has links."""
+    edges = materialize(_scenario_edges(spark, sf_dir))
+    colored = materialize(coloring.color_edges(edges))
+    degree = edges.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("d")).agg(F.coalesce(F.max("d"), F.lit(0)).alias("d"))
+    counted = coloring.color_count(colored).withColumn("_k", F.lit(0)).join(degree.withColumn("_k", F.lit(0)), "_k")
+    return counted.select(F.lit(edges.count()).alias("n_edges"), F.col("n_edges").alias("n_placed"), (F.col("n_colors") >= F.col("d")).alias("enough"))
+
+
+@query(f"""WITH {_clique_sql(40, 60)}, e AS (SELECT src AS entity FROM c UNION ALL SELECT dst FROM c)
+SELECT count(*) AS n_rows, (SELECT count(*) FROM e) AS n_ends, 0::BIGINT AS contended FROM c""")
+def schedule_color_checks(spark, sf_dir):
+    """A color schedule keeps every edge and touches an entity once a wave."""
+    planned = materialize(schedule.color_batch(coloring.color_edges(_scenario_edges(spark, sf_dir))))
+    ends = planned.select(F.explode(F.array("src", "dst")).alias("entity"), "wave").groupBy("entity", "wave").agg(F.count(F.lit(1)).alias("n"))
+    row = ends.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_ends"), F.count(F.when(F.col("n") > 1, 1)).alias("contended"))
+    return row.select(F.lit(planned.count()).alias("n_rows"), "n_ends", "contended")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY edge_id) - 1 AS edge_id, src, dst FROM links_to")
+def link_document(spark, sf_dir):
+    """The link table written as documents and read again."""
+    path = f"{shared_dir(spark)}/links-{uuid.uuid4().hex}.json"
+    files.write_link_document(_links(spark, sf_dir), path)
+    return files.read_link_document(spark, path)
+
+
+@query(f"""SELECT 's1' AS scenario, src, dst, count(*) AS n FROM (WITH {_clique_sql(1, 200)} SELECT src, dst FROM c) GROUP BY ALL
+UNION ALL SELECT 's2', src, dst, count(*) FROM (WITH {_clique_sql(40, 60)} SELECT src, dst FROM c) GROUP BY ALL""")
+def scenario_documents(spark, sf_dir):
+    """Scenarios s1 and s2 written as documents and read again."""
+    out = None
+    for name, edges in pipeline.build_scenarios(_links(spark, sf_dir)).items():
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.json"
+        files.write_link_document(edges, path)
+        rows = files.read_link_document(spark, path).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("scenario"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_MENTION_SCORES = "SELECT page_id, label AS l, 1.0 / (1 + count(*)) AS c FROM mentions WHERE label IS NOT NULL GROUP BY page_id, label"
+
+
+@query(f"""WITH s AS ({_MENTION_SCORES}), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY c DESC, l) AS k FROM s),
+t AS (SELECT page_id, k, {_strip("string_split(l, ',')[1]")} AS l FROM r WHERE k <= 10 AND c >= 0.1)
+SELECT page_id, string_agg(l, '|' ORDER BY k) AS labels FROM t WHERE NOT regexp_matches(l, 'n[0-9]') AND length(l) >= 3
+AND lower(l) NOT IN ({", ".join(f"'{x}'" for x in entities.GENERIC_LABELS)}) GROUP BY page_id""")
+def top_labels(spark, sf_dir):
+    """Mention labels of a page scored by how seldom they are, as image labels are by confidence."""
+    counted = table(spark, sf_dir, "mentions").where("label is not null").groupBy("page_id", "label").agg((1.0 / (1 + F.count(F.lit(1)))).alias("confidence"))
+    scores = counted.groupBy("page_id").agg(F.collect_list(F.struct("label", "confidence")).alias("scores"))
+    return scores.select("page_id", F.array_join(entities.top_labels(F.col("scores")), "|").alias("labels")).where("labels <> ''")
+
+
+@query("""SELECT a AS algorithm_name, s AS scenario, 2::BIGINT AS runs, 100.0::DOUBLE AS success_rate FROM (VALUES ('Sequential insertion'), ('Mix and Batch')) x(a), (VALUES ('top')) y(s)""")
+def evaluation_summary(spark, sf_dir):
+    """Two strategies, two runs each, over the top hub's clique: all rows are loaded."""
+    edges = pipeline.build_scenarios(_links(spark, sf_dir))["s1"]
+    store = graph.GraphStore(spark, f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}")
+    some = tuple(s for s in config.STRATEGIES if s.kind in ("sequential", "mix_and_batch"))
+    metrics = evaluate.evaluate(store, {"top": materialize(edges)}, some, 2)
+    return evaluate.summary(metrics).select("algorithm_name", "scenario", "runs", "success_rate")

@@ -19,11 +19,13 @@ def merge_stream(edges: DataFrame, store: GraphStore, checkpoint: str, clock: Ca
     """Merge every micro-batch of a streaming edge table into ``store`` and end when no more is there.
 
     The result equals one merge of all edges but for the stamps, which come from
-    ``clock`` (given the batch number).
+    ``clock`` (given the batch number). The store remembers the last batch of each
+    ``checkpoint``, so one that is replayed after a failure adds nothing; a batch
+    writes its own pairs, not the graph.
     """
     return (
         edges.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        .foreachBatch(lambda batch, number: store.merge(batch, clock(number))).start()
+        .foreachBatch(lambda batch, number: store.merge(batch, clock(number), checkpoint, number) and None).start()
     )
 
 

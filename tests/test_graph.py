@@ -1,9 +1,13 @@
 """Upsert, reset, store, links, streaming."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from arcweave import schema
-from arcweave.operators import graph, links
+from arcweave.functions import entities
+from arcweave.operators import dedup, graph, links
 from arcweave.streaming.upsert import merge_stream, windowed_links
 
 T0 = 99
@@ -55,6 +59,79 @@ def test_store_two_loads_are_one(spark, tmp_path):
     assert one.nodes().count() == one.links().count() == 0
 
 
+def test_store_folds_like_single_merges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(graph, "MOST_DELTAS", 2)
+    rng = random.Random(7)
+    store = graph.GraphStore(spark, str(tmp_path / "g"))
+    start = spark.createDataFrame(NODES, schema.NODES), spark.createDataFrame([*OLD, ("b", "c", None, 1, 2)], schema.LINKS)
+    store.replace(*start)
+    nodes, links_ = {r.title: tuple(r) for r in start[0].collect()}, {(r.src, r.dst): tuple(r) for r in start[1].collect()}
+    for clock in range(10, 15):
+        rows = [(k, rng.choice("abcd"), rng.choice(["a", "b", "e", None])) for k in range(4)]
+        edges = spark.createDataFrame(rows, schema.EDGES)
+        old = spark.createDataFrame(list(nodes.values()), schema.NODES), spark.createDataFrame(list(links_.values()), schema.LINKS)
+        nodes = {r.title: tuple(r) for r in graph.merge_nodes(old[0], edges, clock).collect()}
+        links_ = {(r.src, r.dst): tuple(r) for r in graph.merge_links(old[1], edges, clock).collect()}
+        store.merge(edges, clock)
+        assert {tuple(r) for r in store.nodes().collect()} == set(nodes.values())
+        assert {tuple(r) for r in store.links().collect()} == set(links_.values())
+    assert len(list((tmp_path / "g/log").glob("*.json"))) == 2 and len([p for p in (tmp_path / "g").iterdir() if p.name != "log"]) <= 5
+
+
+def test_a_batch_counts_once(spark, tmp_path):
+    edges = spark.createDataFrame(EDGES, schema.EDGES)
+    store = graph.GraphStore(spark, str(tmp_path / "g"))
+    assert store.merge(edges, 1, "s", 0) and not store.merge(edges, 1, "s", 0) and store.merge(edges, 2, "t", 0) and store.merge(edges, 3, "s", 1)
+    assert {r.weight for r in store.links().collect()} == {3, 6}
+    broken = edges.withColumn("src", F.raise_error(F.lit("no")))
+    with pytest.raises(Exception, match="no"):
+        store.merge(broken, 4, "s", 2)
+    assert {r.weight for r in store.links().collect()} == {3, 6} and store.merge(edges, 4, "s", 2)
+
+
+def test_self_links_have_one_end(spark):
+    links_ = spark.createDataFrame([("a", "b", 2, 1, None), ("c", "c", 5, 1, None)], schema.LINKS)
+    nodes = spark.createDataFrame([("a", None, 1), ("b", None, 1), ("c", None, 1)], schema.NODES)
+    assert graph.graph_stats(nodes, links_).first()[:] == (3, 2, 7, 3)
+
+
+def test_hot_ends_are_split(spark):
+    """The semi join on an end that holds a third of the links is split by the adaptive planner."""
+    keys = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50KB", "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, x in keys.items():
+        spark.conf.set(k, x)
+    try:
+        links_ = spark.range(0, 200_000, 1, 8).selectExpr("md5(string(id)) as src", "if(id % 3 = 0, 'hot', string(id)) as dst", "1L as weight", "1L as created_at", "1L as last_updated")
+        nodes = links_.selectExpr("explode(array(src, dst)) as title").distinct().selectExpr("title", "true as is_base", "1L as processed_at")
+        kept = graph.reset_links(nodes, links_)
+        assert len(kept.collect()) == 200_000
+        assert "skew=true" in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+
+
+def test_category_similarity(spark):
+    vectors = spark.createDataFrame([(1, [3.0, 4.0], "x"), (2, [0.0, 0.0], "x"), (3, None, "x"), (4, [1.0], "x"), (5, [None, 1.0], "x")], "vec_id int, embedding array<float>, category string")
+    some = spark.createDataFrame([("e", [1.0, 0.0]), ("f", [0.0, 2.0]), (None, None)], "category string, vector array<float>")
+    got = {(r.vec_id, r.category): r.similarity for r in entities.category_similarity(vectors, some).collect()}
+    assert len(got) == 15 and abs(got[1, "e"] - 0.6) < 1e-9 and abs(got[1, "f"] - 0.8) < 1e-9
+    assert {k for k, x in got.items() if x is not None} == {(1, "e"), (1, "f")}
+    assert entities.category_similarity(vectors, some.limit(0)).count() == 0
+
+
+def test_once(spark, monkeypatch):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (None, "a"), (None, "a"), (2, None), (2, None), (3, "c")]
+    df = spark.createDataFrame(rows, "page_id bigint, text string").repartition(3)
+    for limit in (100, 0):
+        monkeypatch.setattr(dedup, "SEEN_TWICE", limit)
+        assert sorted(map(tuple, dedup.once(df).collect()), key=str) == sorted(set(rows), key=str)
+
+
 def test_link_building(spark):
     pages = spark.createDataFrame([("t", ["x", "y", "x", None]), (None, ["x"]), ("u", None), ("v", [])], schema.PAGE_ENTITIES)
     assert sorted(map(tuple, links.page_links(pages).collect())) == [("t", "x"), ("t", "y")]

@@ -77,6 +77,13 @@ def test_violations_are_seen(spark):
     assert coloring.color_violations(bad).first()[:] == (1, 1)
 
 
+def test_large_star(spark):
+    star = spark.range(30_000).selectExpr("id as edge_id", "'hub' as src", "string(id) as dst")
+    got = coloring.color_edges(star)
+    assert got.where("color <> edge_id").count() == 0 and coloring.color_count(got).first()[:] == (30_000, 30_000, 1)
+    assert coloring.color_count(got.limit(0)).first()[:] == (0, 0, 0)
+
+
 def test_color_batches_touch_an_entity_once_a_wave(spark):
     pairs = [(a, b) for a in "abcd" for b in "abcd" if a != b]
     assert schedule.contention(schedule.color_batch(coloring.color_edges(edges(spark, pairs)), 1)).count() == 0
@@ -99,6 +106,18 @@ def test_evaluation_loads_the_same_graph(spark, tmp_path):
         assert record[7] == 100.0 and record[0] == s.name
         weights.append({(r.src, r.dst, r.weight) for r in store.links().collect()})
     assert all(w == weights[0] for w in weights) and len(weights[0]) == 30
+
+    class Failing(graph.GraphStore):
+        calls = 0
+
+        def merge(self, edges, clock, *rest):
+            Failing.calls += 1
+            if edges.where("edge_id = 0").count():
+                raise RuntimeError("deadlock")
+            return super().merge(edges, clock, *rest)
+
+    record = evaluate.run_once(Failing(spark, str(tmp_path / "f")), config.Strategy("sequential", "S", 20, max_retries=2), "s", df, 1, 7)
+    assert Failing.calls == 3 + 2 and round(record[7], 3) == round(100 * 40 / 60, 3) and record[12] > 0
     metrics = spark.createDataFrame([record], schema.METRICS)
     assert evaluate.summary(metrics).first().runs == 1
     assert spark.read.json(evaluate.save(metrics, str(tmp_path))).count() == 1
@@ -110,4 +129,7 @@ def test_config(tmp_path):
     path.write_text("data: {output: o}\nalgorithms:\n  mix_and_batch_v2: {name: M, num_partitions: 4, hash_digits: 2}\n  sapoc: {name: S}\n")
     got = config.load(str(path))
     assert got.output == "o" and {(s.kind, s.name) for s in got.strategies} == {("mix_and_batch", "M"), ("batched_sequential", "S")}
+    assert [s.kind for s in got.strategies] == ["mix_and_batch", "batched_sequential"]
+    order = config.from_mapping({"algorithms": {"color_batch": {}, "sequential_b": {}, "apoc": {}, "sequential_a": {}}}).strategies
+    assert [s.name for s in order] == ["sequential_b", "sequential_a", "apoc", "color_batch"]
     assert config.from_mapping({}) == config.Config()

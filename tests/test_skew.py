@@ -2,6 +2,8 @@
 
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from arcweave.operators import skew
 
 
@@ -47,3 +49,17 @@ def test_split_join(spark):
     left = df.select("dst", "src")
     want = Counter(map(tuple, left.join(right, "dst").collect()))
     assert Counter(map(tuple, skew.split_join(left, right, "dst", 1 / 20).collect())) == want
+
+
+def test_heavy_is_what_fills_a_partition(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, want in ((2, 1 / 200), (100, 1 / 400), (10**6, 1 / skew.FINEST)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            assert skew.fair_share(spark) == want
+        spark.conf.set("spark.sql.shuffle.partitions", "100")
+        df = spark.range(20_000).selectExpr("if(id % 333 = 0, 'hot', string(id)) as k")  # 0.3 % of the rows
+        values, n = skew.key_candidates(df, F.col("k"), skew.fair_share(spark))
+        assert values == ["hot"] and n == 20_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
