@@ -60,7 +60,7 @@ def plan(strategy: Strategy, edges: DataFrame) -> DataFrame:
     return schedule.STRATEGIES[strategy.kind](source, strategy.batch_size, **strategy.options)
 
 
-MOST_LOADS = 16   # merges of one run; waves beyond that are loaded several at once, in order
+MOST_LOADS = 8   # merges of one run; waves beyond that are loaded several at once, in order
 
 
 def execute(store: GraphStore, planned: DataFrame, strategy: Strategy, clock: int) -> tuple[int, float]:
