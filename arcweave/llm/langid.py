@@ -32,7 +32,7 @@ WIDEST = max(WIDTHS)
 SAMPLE = 300              # labelled documents a language that the network is fitted on, at most
 STEPS = 58, 100           # of the first and the second fit, for each language
 LEAST_LANGUAGES = 8       # the steps are those of so many languages at least
-HELD_OUT = 8              # one document in so many is kept from the second fit to calibrate confidence
+HELD_OUT = 8              # one document in so many is kept from the first fit, whose margins on it calibrate confidence
 SWITCH = 2.0              # nats a change of language costs
 SURE = 2.0                # nats by which a sentence must speak for its language
 _SPACELESS = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]")
@@ -164,7 +164,8 @@ class Model:
         documents the network takes for others are given up (their labels name
         nothing of their own; ``report`` says which) and sentences that clearly
         contradict their label are left out of the second fit. ``steps`` are counted
-        per language. Sentences of held-out documents turn margins into confidence.
+        per language. The first fit's margins on documents held out from it say how sure
+        a margin is; the second fit is on all documents.
         """
         pieces, names, docs, rng = [], [], [], np.random.default_rng(7)
         for k, (lang, text) in enumerate(rows):
@@ -184,33 +185,32 @@ class Model:
             self.report += [(x, counts.get(x, k), k, None, True) for x, k in zip(self.langs, sampled)]
             return
         times = max(LEAST_LANGUAGES, len(self.langs))
-        self.net.fit(win, np.repeat(y, n), steps[0] * times, 1)
+        docs = np.array(docs)
+        held = docs % HELD_OUT == HELD_OUT - 1
+        use = np.repeat(~held, n)
+        self.net.fit(win[use], np.repeat(y, n)[use], steps[0] * times, 1)
         scores = self.sums(win, n)
         prior = np.log([counts.get(x, 1) / k for x, k in zip(self.langs, sampled)])  # the fit knows the rest
         guess = (scores + prior).argmax(1)
         agreed = [float((guess[y == k] == k).mean()) for k in range(len(self.langs))]
         self.report += [(x, counts.get(x, k), k, a, a >= 0.5) for x, k, a in zip(self.langs, sampled, agreed)]
-        keep = np.array([a >= 0.5 for a in agreed])[y] & (scores[np.arange(len(y)), y] > scores.max(1) - 3)
-        left = [x for x, a in zip(self.langs, agreed) if a >= 0.5]
-        again = np.array([left.index(x) if x in left else -1 for x in self.langs])[y]
-        self.langs = left
-        self.net = Network(max(1, len(left)), seed=6)
-        if len(left) < 2:
-            return
-        docs = np.array(docs)
-        held = docs % HELD_OUT == HELD_OUT - 1
-        if held.all() or not (keep & ~held).any():
-            held[:] = False
-        use = np.repeat(keep & ~held, n)
-        self.net.fit(win[use], np.repeat(again, n)[use], steps[1] * times, 2)
-        # documents whose label most of their sentences confirm
+        own = np.array([a >= 0.5 for a in agreed])
+        keep = own[y] & (scores[np.arange(len(y)), y] > scores.max(1) - 3)
+        # held-out documents whose label most of their sentences confirm
         agree = np.bincount(docs, keep, len(rows)) * 2 > np.bincount(docs, minlength=len(rows))
-        tried = np.flatnonzero(held & agree[docs] & (again >= 0))
+        tried = np.flatnonzero(held & agree[docs] & own[y])
         if len(tried) >= 50:  # whole sentences and beginnings of them, so that there are doubtful ones too
             some = [p for k in tried for p in (pieces[k], pieces[k][: rng.integers(6, 40)])]
             part = self.sums(*windows(some))
             two = np.sort(part, 1)[:, -2:]
-            self._calibrate(two[:, 1] - two[:, 0], part.argmax(1) == np.repeat(again[tried], 2))
+            self._calibrate(two[:, 1] - two[:, 0], part.argmax(1) == np.repeat(y[tried], 2))
+        left = [x for x, a in zip(self.langs, agreed) if a >= 0.5]
+        again = np.array([left.index(x) if x in left else -1 for x in self.langs])[y]
+        self.langs = left
+        self.net = Network(max(1, len(left)), seed=6)
+        use = np.repeat(keep, n)
+        if len(left) > 1:
+            self.net.fit(win[use], np.repeat(again, n)[use], steps[1] * times, 2)
 
     def pack(self) -> bytes:
         """Everything that applying the model needs, as bytes."""

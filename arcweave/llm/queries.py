@@ -108,7 +108,7 @@ def p7_clean_documents(spark, sf_dir):
     return leak.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "source")
 
 
-_FOLD = r"trim(lower(regexp_replace(regexp_replace({}, '[\u00AD\u200B\u200C\u200D\u2060\uFEFF]', '', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')))"
+_FOLD = r"trim(lower(regexp_replace(regexp_replace({}, '[\x{{00AD}}\x{{200B}}\x{{200C}}\x{{200D}}\x{{2060}}\x{{FEFF}}]', '', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')))"
 
 
 @query(rf"""WITH d AS (SELECT doc_id, ' ' || {_FOLD.format("text")} || ' ' AS t FROM documents WHERE text <> ''), i AS (SELECT item_id, {_FOLD.format("text")} AS w FROM eval_items),

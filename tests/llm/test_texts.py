@@ -88,14 +88,6 @@ def test_lexicon_is_learned(spark):
     assert sentences.learn(spark.createDataFrame([], "text string")).split("桥") == ["桥"]
 
 
-def test_once(spark, monkeypatch):
-    rows = [(1, "a"), (1, "a"), (1, "b"), (None, "a"), (None, "a"), (2, None), (2, None), (3, "c")]
-    df = spark.createDataFrame(rows, "page_id bigint, text string").repartition(3)
-    for limit in (100, 0):
-        monkeypatch.setattr(sentences, "SEEN_TWICE", limit)
-        assert sorted(map(tuple, sentences.once(df).collect()), key=str) == sorted(set(rows), key=str)
-
-
 def test_sentence_rows(spark):
     rows = [(1, "T\nOne. Two.", "x"), (1, "T\nOne. Two.", "y"), (2, None, "x"), (None, "T\nOne.", "x")]
     df = spark.createDataFrame(rows, "page_id bigint, text string, sentence string")
