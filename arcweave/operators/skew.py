@@ -13,6 +13,7 @@ if TYPE_CHECKING:
 
     from pyspark.sql import Column, DataFrame, SparkSession
 
+MERGERS = 64    # tasks that merge the sketches of all others
 FINEST = 2000   # a share below 1 in so many would make the sketches of all tasks too large to merge
 
 
@@ -35,18 +36,21 @@ def not_blank(c: Column | str) -> Column:
 def key_candidates(df: DataFrame, key: Column, share: float) -> tuple[list, int]:
     """Values that may hold at least ``share`` of the rows, and the row count.
 
-    A frequent-items sketch is merged over all rows, map side first. Its error
-    is under a tenth of ``share``, so no value at or above ``share`` is missing;
-    at most ``2 / share`` values come back, which bounds what a caller may
-    broadcast. Null keys are not counted.
+    A frequent-items sketch is merged over all rows, map side first, then in
+    MERGERS tasks, then in one. Its error is under a tenth of ``share``, so no
+    value at or above ``share`` is missing; at most ``2 / share`` values come back, which
+    bounds what a caller may broadcast. Null keys are not counted.
     """
     k = math.ceil(2 / share)
-    tracked = max(64, 1 << math.ceil(math.log2(35 / share)))
-    row = df.where(key.isNotNull()).agg(
-        F.call_function("approx_top_k", key, F.lit(k), F.lit(tracked)).alias("top"), F.count(F.lit(1)).alias("n")
-    ).first()
-    n = row["n"]
-    return [x["item"] for x in row["top"] or [] if 2 * x["count"] >= share * n], n
+    tracked = F.lit(max(64, 1 << math.ceil(math.log2(35 / share))))
+    call, n = F.call_function, F.count(F.lit(1)).alias("n")
+    some = df.where(key.isNotNull()).select(key.alias("k"), F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("m"))
+    merged = some.groupBy("m").agg(call("approx_top_k_accumulate", F.col("k"), tracked).alias("s"), n)
+    whole = merged.groupBy(F.lit("").alias("_")).agg(call("approx_top_k_combine", F.col("s"), tracked).alias("s"), F.sum("n").alias("n"))
+    row = whole.select(call("approx_top_k_estimate", F.col("s"), F.lit(k)).alias("top"), "n").first()
+    if row is None:
+        return [], 0
+    return [x["item"] for x in row["top"] or [] if 2 * x["count"] >= share * row["n"]], row["n"]
 
 
 def heavy_hitters(df: DataFrame, key: str, share: float = 1 / 200) -> DataFrame:
@@ -129,6 +133,16 @@ def target_report(
     return parts.select(F.col("k").alias(key), "n_links", "n_src", shown.alias("hubs"))
 
 
+def shared_targets(links: DataFrame, share: float = 1 / 200, key: str = "dst", source: str = "src") -> DataFrame:
+    """``(key, n_links, n_src)`` of the targets that hold at least ``share`` of all rows with a non-blank target.
+
+    They are read off the report of all targets, heavy and light ones alike.
+    """
+    report = target_report(links, key, source, hubs=1).select(key, "n_links", "n_src")
+    total = links.where(not_blank(key)).count()
+    return report.where(F.col("n_links") >= F.lit(share) * total)
+
+
 def target_hubs(links: DataFrame, key: str = "dst", source: str = "src") -> DataFrame:
     """``(key, source, n)``: every non-blank source of every non-blank target with its number of links.
 

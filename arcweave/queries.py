@@ -45,8 +45,7 @@ def query(sql: str | None = None):
 WITH l AS (SELECT dst FROM links_to WHERE trim(dst) <> ''), t AS (SELECT count(*) AS n FROM l)
 SELECT dst FROM l, t GROUP BY dst, t.n HAVING count(*) * 200 >= t.n""")
 def p4_found(spark, sf_dir):
-    links = table(spark, sf_dir, "links_to").where(skew.not_blank("dst"))
-    return skew.heavy_hitters(links, "dst", 1 / 200).select("dst")
+    return skew.shared_targets(table(spark, sf_dir, "links_to"), 1 / 200).select("dst")
 
 
 @query("""

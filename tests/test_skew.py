@@ -20,6 +20,15 @@ def test_heavy_hitters(spark):
     assert skew.heavy_hitters(df.limit(0), "dst").count() == 0
 
 
+def test_shared_targets(spark):
+    data, df = rows(spark)
+    counted = Counter(d for d, _ in data if d and d.strip())
+    for share in (1 / 20, 4 / sum(counted.values())):
+        want = {d for d, n in counted.items() if n >= share * sum(counted.values())}
+        assert {r.dst for r in skew.shared_targets(df.withColumnRenamed("n", "m"), share).collect()} == want
+    assert skew.shared_targets(df.limit(0)).count() == 0
+
+
 def test_hubs_are_whole(spark):
     data, df = rows(spark)
     want = Counter((d, s) for d, s in data if d and d.strip() and s and s.strip())
