@@ -18,7 +18,6 @@ from collections import Counter
 from typing import TYPE_CHECKING
 
 import pyarrow as pa
-import regex
 from pyspark.sql import functions as F
 
 from arcweave.functions.text import TERMINATORS as CLOSING
@@ -73,7 +72,9 @@ COUNTED = 5         # a string or word must have been seen so often
 SHARE = 1e-5        # ... and make up this share of its kind, so no kind has over 100,000 entries
 KEPT = 400_000      # different strings a task holds before it gives their counts out
 
-_MARKS = re.compile(r"(?:[.!?؟…]|。|！|？|।|॥|｡)(?:[   ]?[.!?؟…。！？।])*")
+# Marks that always end a sentence: Devanagari, Khmer, Burmese, Ethiopic, Armenian, Urdu, and the Greek question mark.
+FULL = "।॥។៕။።፧։۔\u037e"
+_MARKS = re.compile(rf"(?:[.!?؟…]|。|！|？|｡|[{FULL}]|(?<=[\u0370-\u03ff\u1f00-\u1fff]);)(?:[\u0020\u00a0\u202f]?[.!?؟…。！？।])*")
 _CLOSERS = "\"'”’»“」』）)]›"
 _SPACE = " \t     　\r\n​"
 _LIST = re.compile(r"(?:[-*•–·‣]|\d{1,3}[.)]|\(?[a-z]\))\s+\S")
@@ -153,15 +154,17 @@ _RUN = re.compile("[\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]+")
 _BEFORE_MARK = re.compile("([\u3040-\u30ff\u3400-\u9fff]+)[。！？｡]")
 _BEHIND_MARK = re.compile("[。！？｡]([\u3040-\u30ff\u3400-\u9fff]+)")
 _BEFORE_QUOTE = re.compile("([\u3040-\u30ff\u3400-\u9fff]+)：[“「]")
-_STARTS = regex.compile(r"(?:^|[!?]\s+)[«“„‘¿¡]*(\p{Lu}[\p{L}'’]*)", regex.M)
-_INSIDE = regex.compile(r"(?<=[\p{L},] )(\p{Lu}[\p{L}'’]*)")
-_BARE = regex.compile(r"(?<![^\s(\[«“\"„])(\p{L}{1,6})(?=[\s,;:)])")
-_STOPPED = regex.compile(r"(?<![^\s(\[«“\"„])(\p{L}(?:\p{L}{0,5}|(?:\.\p{L}{1,3})+))\.(?:(,)|\s+(\S))")
+_UPPER = "A-ZÀ-ÖØ-Þ\u0100-\u024fΑ-ΩЀ-Я\u0530-\u0556"
+_STARTS = re.compile(rf"(?:^|[!?]\s+)[«“„‘¿¡]*([{_UPPER}][^\W\d_'’]*)", re.M)
+_INSIDE = re.compile(rf"(?<=[^\W\d_,] )([{_UPPER}][^\W\d_'’]*)")
+_TOKEN = re.compile(r"[(\[«“\"„]*([^\W\d_]{1,6})[,;:)]*")
+_SHORT = re.compile(r"[(\[«“\"„]*([^\W\d_](?:[^\W\d_]{0,5}|(?:\.[^\W\d_]{1,3})+))\.,?")
 
 
 def _counts(text: str) -> dict[str, list[str]]:
-    """The strings of a text by kind, see ``Lexicon``."""
-    out: dict[str, list[str]] = {k: [] for k in "gfoqsmwpl"}
+    """The strings of a text by kind, see ``Lexicon``; ``t`` are its blank-separated tokens, of which ``_kinds`` makes ``w`` and ``p``."""
+    out: dict[str, list[str]] = {k: [] for k in "gfoqsml"}
+    out["t"] = tokens = text.split()
     if _RUN.search(text):
         for run in _RUN.findall(text):
             for n in range(1, GRAM + 1):
@@ -169,21 +172,32 @@ def _counts(text: str) -> dict[str, list[str]]:
         out["f"] = [r[-n:] for r in _BEFORE_MARK.findall(text) for n in range(1, GRAM + 1) if len(r) >= n]
         out["o"] = [r[:n] for r in _BEHIND_MARK.findall(text) for n in range(2, GRAM + 1) if len(r) >= n]
         out["q"] = [r[-n:] for r in _BEFORE_QUOTE.findall(text) for n in range(1, GRAM + 1) if len(r) >= n]
-    out["s"] = [w.lower() for w in _STARTS.findall(text)]
-    out["m"] = [w.lower() for w in _INSIDE.findall(text)]
-    out["w"] = [w.lower() for w in _BARE.findall(text)]
-    for w, comma, nxt in _STOPPED.findall(text):
-        out["p"].append(w.lower())
-        if comma or nxt.islower() or nxt.isdigit():
-            out["l"].append(w.lower())
+    out["s"] = [w.lower() for w in _STARTS.findall(text) if w[0].isupper()]
+    out["m"] = [w.lower() for w in _INSIDE.findall(text) if w[0].isupper()]
+    stopped = [k for k, t in enumerate(tokens) if t.endswith((".", ".,"))]
+    for k in stopped:
+        if m := _SHORT.fullmatch(tokens[k]):
+            nxt = tokens[k + 1][0] if k + 1 < len(tokens) else ""
+            if tokens[k].endswith(",") or nxt.islower() or nxt.isdigit():
+                out["l"].append(m.group(1).lower())
     return out
 
 
+def _kinds(tokens: Counter) -> Iterator[tuple[str, str, int]]:
+    """Short words without a full stop (``w``) and with one (``p``) among the different tokens."""
+    for token, n in tokens.items():
+        if m := _TOKEN.fullmatch(token):
+            yield "w", m.group(1).lower(), n
+        elif m := _SHORT.fullmatch(token):
+            yield "p", m.group(1).lower(), n
+
+
 def _count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = {k: Counter() for k in "gfoqsmwpl"}
+    held = {k: Counter() for k in "gfoqsmlt"}
 
     def out() -> pa.RecordBatch:
-        rows = [(kind, key, n) for kind, c in held.items() for key, n in c.items()]
+        rows = [(kind, key, n) for kind, c in held.items() if kind != "t" for key, n in c.items()]
+        rows += _kinds(held["t"])
         for c in held.values():
             c.clear()
         kinds, keys, n = zip(*rows) if rows else ([], [], [])
@@ -282,7 +296,7 @@ def _weigh(text: str, start: int, begin: int, mark: str, stop: int, end: int, le
             if any(w.lower() in NAMING for w in near[-4:-1]):
                 return -9
         return 9 if spaced or nxt.isupper() or nxt in "«“„‘\"¿¡(" or caseless else -9
-    if first in "।॥":
+    if first in FULL or first == ";":
         return 9
      # A full stop.
     gap = text[max(start, begin - 1)]

@@ -70,6 +70,12 @@ def test_random_bodies_are_covered():
     ("See Eq. Two and Thm. Four. The rest is proved.", ["See Eq. Two and Thm. Four.", "The rest is proved."]),
     ("彼は東京へ行きました 昨日は雨でした 今日は晴れです", ["彼は東京へ行きました", "昨日は雨でした", "今日は晴れです"]),
     ("他来了 我们走了 天黑了", ["他来了", "我们走了", "天黑了"]),
+    ("នាងទៅផ្ទះ។ គាត់មក។", ["នាងទៅផ្ទះ។", "គាត់មក។"]),
+    ("သူသွားသည်။ သူမလာသည်။", ["သူသွားသည်။", "သူမလာသည်။"]),
+    ("ልጁ ሄደ። እሷ መጣች።", ["ልጁ ሄደ።", "እሷ መጣች።"]),
+    ("Πού πας; Πάω σπίτι. Ήρθε; Ναι.", ["Πού πας;", "Πάω σπίτι.", "Ήρθε;", "Ναι."]),
+    ("وہ گیا۔ وہ آئی۔", ["وہ گیا۔", "وہ آئی۔"]),
+    ("She came; he left. It rained.", ["She came; he left.", "It rained."]),
     ("她在Port 3 北边 看书。他走了。", ["她在Port 3 北边 看书。", "他走了。"]),
 ])
 def test_texts_of_other_kinds(body, want):
