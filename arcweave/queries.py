@@ -243,6 +243,15 @@ def text_sentences(spark, sf_dir):
     return found.groupBy("page_id", "sentence").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {_CLEAN} SELECT title, text, count(*) AS n FROM f GROUP BY title, text")
+def text_files(spark, sf_dir):
+    """The pages written as one file each, read and cleaned."""
+    folder = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    files.write_text_dir(once(table(spark, sf_dir, "text_dir").select("page_id", "text")), folder)
+    pages = files.read_text_dir(spark, folder).withColumn("page_id", F.xxhash64("path"))
+    return pipeline.clean_pages(pages).groupBy("title", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(rf"""WITH a AS (SELECT page_id, title, {_strip('text')} AS s, label FROM mentions),
 b AS (SELECT page_id, title, s, label, regexp_replace(s, '(?i)^(a|an|the){_W}+', '') AS e FROM a)
 SELECT DISTINCT page_id, title, e AS entity FROM b WHERE label IN ({", ".join(f"'{x}'" for x in entities.LABELS)}) AND length(s) > 3
@@ -418,11 +427,28 @@ def top_labels(spark, sf_dir):
     return scores.select("page_id", F.array_join(entities.top_labels(F.col("scores")), "|").alias("labels")).where("labels <> ''")
 
 
+def _text_scores():
+    """A classifier whose images are texts: the text itself, and a label that is always dropped."""
+    return lambda raw: [(raw.decode(), 0.9), ("screen", 0.5), (raw.decode(), 0.05)]
+
+
+@query(rf"""WITH a AS (SELECT DISTINCT mention_id, page_id, {_strip("string_split(text, ',')[1]")} AS l FROM mentions WHERE text IS NOT NULL)
+SELECT 'Page ' || page_id AS src, l AS dst, count(*) AS n FROM a WHERE NOT regexp_matches(l, 'n[0-9]') AND length(l) >= 3
+AND lower(l) NOT IN ({", ".join(f"'{x}'" for x in entities.GENERIC_LABELS)}) GROUP BY 1, 2""")
+def image_links(spark, sf_dir):
+    """Links from file titles to labels; the images are the texts of the mentions."""
+    rows = table(spark, sf_dir, "mentions").select("mention_id", "page_id", "text").distinct()
+    path = F.concat(F.lit("images/Page_"), "page_id", F.lit("_"), "mention_id", F.lit(".jpg"))
+    images = rows.select(path.alias("path"), F.col("text").cast("binary").alias("content"))
+    return pipeline.image_links(images, _text_scores).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""SELECT a AS algorithm_name, s AS scenario, 1::BIGINT AS runs, 100.0::DOUBLE AS success_rate FROM (VALUES ('Sequential insertion'), ('Mix and Batch')) x(a), (VALUES ('top')) y(s)""")
 def evaluation_summary(spark, sf_dir):
-    """Two strategies, one run each, over the top hub's clique: all rows are loaded."""
+    """Two strategies, one run each, over the top hub's clique, saved and read again: all rows are loaded."""
     edges = pipeline.build_scenarios(_links(spark, sf_dir))["s1"]
     store = graph.GraphStore(spark, f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}")
     some = tuple(s for s in config.STRATEGIES if s.kind in ("sequential", "mix_and_batch"))
     metrics = evaluate.evaluate(store, {"top": materialize(edges)}, some, 1)
-    return evaluate.summary(metrics).select("algorithm_name", "scenario", "runs", "success_rate")
+    saved = evaluate.save(metrics, f"{shared_dir(spark)}/results-{uuid.uuid4().hex}")
+    return evaluate.summary(spark.read.schema(schema.METRICS).json(saved)).select("algorithm_name", "scenario", "runs", "success_rate")

@@ -33,8 +33,8 @@ def text_dir_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_text_dir(pages: DataFrame, folder: str) -> None:
-    """One text file a page, under names that Spark gives; the other way round of ``read_text_dir``."""
-    pages.select(F.col("text").alias("value")).write.mode("overwrite").option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(folder)
+    """One text file a page, ended by a line break, under names that Spark gives; ``read_text_dir`` reads them. Null texts make none."""
+    pages.where("text is not null").select(F.col("text").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(folder)
 
 
 def read_image_dir(spark: SparkSession, folder: str) -> DataFrame:

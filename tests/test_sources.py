@@ -35,9 +35,9 @@ def test_documents_come_back_in_order(spark, tmp_path):
 
 
 def test_text_dir(spark, tmp_path):
-    pages = spark.createDataFrame([("T\nOne line.\n",), ("",), (" \n",), ("Tür",)], "text string")
+    pages = spark.createDataFrame([("T\nOne line.\n",), ("",), (" \n",), ("Tür",), (None,)], "text string")
     files.write_text_dir(pages.repartition(2), str(tmp_path / "t"))
-    assert sorted(r.text.strip("\x00") for r in files.read_text_dir(spark, str(tmp_path / "t")).collect()) == ["", " \n", "T\nOne line.\n", "Tür"]
+    assert sorted(r.text for r in files.read_text_dir(spark, str(tmp_path / "t")).collect()) == ["\n", " \n\n", "T\nOne line.\n\n", "Tür\n"]
     (tmp_path / "u").mkdir()
     (tmp_path / "u/a").write_bytes(b"T\xff\nx")
     (tmp_path / "u/b").write_bytes(b" ")
