@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from arcweave.functions.text import TERMINATORS
 from arcweave.llm import cooccur, dupes, langid, leak, mixing, sentences, termfreq, variants
+from arcweave.operators.skew import not_blank
 from arcweave.queries import table
 from arcweave.session import materialize
 from arcweave.sources.files import parse_link_records
@@ -212,3 +213,18 @@ def p3_canonical_titles(spark, sf_dir):
 @query()
 def p3_members(spark, sf_dir):
     return variants.members(table(spark, sf_dir, "entity"), table(spark, sf_dir, "links_to"))
+
+
+@query("SELECT count(DISTINCT node_id) AS n_nodes, 0::BIGINT AS n_misplaced, 0::BIGINT AS n_divided FROM entity WHERE trim(title) <> '' AND node_id IS NOT NULL")
+def p3_member_checks(spark, sf_dir):
+    """Nodes with a title, placed or not; members whose entity is not the smallest of as many nodes as are said; spellings equal but for blanks that are in two entities."""
+    entity = table(spark, sf_dir, "entity").where(not_blank("title") & F.col("node_id").isNotNull())
+    placed = materialize(variants.members(entity, table(spark, sf_dir, "links_to")))
+    groups = placed.groupBy("entity_id", "n_nodes").agg(F.min("node_id").alias("least"), F.countDistinct("node_id").alias("n"))
+    wrong = groups.where("least <> entity_id or n < n_nodes").agg(F.count(F.lit(1)).alias("n_misplaced")).withColumn("_k", F.lit(0))
+    single = entity.select("node_id", F.lower(F.regexp_replace("title", " +", "")).alias("t")).distinct()
+    whole = single.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("node_id")
+    spelt = single.join(whole, "node_id").join(placed, "node_id").groupBy("t").agg(F.countDistinct("entity_id").alias("n")).where("n > 1")
+    nodes = entity.agg(F.countDistinct("node_id").alias("n_nodes")).withColumn("_k", F.lit(0))
+    divided = spelt.agg(F.count(F.lit(1)).alias("n_divided")).withColumn("_k", F.lit(0))
+    return nodes.join(wrong, "_k").join(divided, "_k").drop("_k")
