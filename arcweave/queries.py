@@ -110,6 +110,17 @@ def merge_incremental_links(spark, sf_dir):
     return graph.merge_links(first, rows.where(~text), 2).select("src", "dst", "weight")
 
 
+@query(f"SELECT src, dst, count(*) AS weight FROM ({_ENDS}) GROUP BY src, dst")
+def merge_streamed_links(spark, sf_dir):
+    """The link table as a stream of files, merged into a store batch by batch."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    _links(spark, sf_dir).repartition(4).write.parquet(f"{folder}/in")
+    source = spark.readStream.schema(schema.EDGES).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    store = graph.GraphStore(spark, f"{folder}/graph")
+    upsert.merge_stream(source, store, f"{folder}/checkpoint").awaitTermination()
+    return store.links().select("src", "dst", "weight")
+
+
 @query(f"""WITH t AS (SELECT DISTINCT unnest([src, dst]) AS title FROM ({_ENDS})), n AS ({_NODES})
 SELECT coalesce(n.title, t.title) AS title, CASE WHEN t.title IS NULL THEN is_base ELSE coalesce(is_base, false) END AS is_base,
 CASE WHEN t.title IS NULL THEN processed_at ELSE coalesce(processed_at, 7) END AS processed_at FROM n FULL JOIN t ON n.title = t.title""")
